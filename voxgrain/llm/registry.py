@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from . import mixing, url_filter
+from . import html_text, language_id, metric_tree, mixing, quality, url_filter
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
+    "op2_language_id": language_id.op2_language_id,
     "op3_mixing": mixing.op3_mixing,
+    "op5_metric_tree": metric_tree.op5_metric_tree,
     "op7_url_filter": url_filter.op7_url_filter,
+    "op10_html_text": html_text.op10_html_text,
 }
 
 ORACLE_SQL = {
     "op3_mixing": mixing.OP3_SQL,
+    "op5_metric_tree": metric_tree.OP5_SQL,
     "op7_url_filter": url_filter.OP7_SQL,
 }
