@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from . import html_text, language_id, metric_tree, mixing, quality, url_filter
+from . import decontaminate, html_text, language_id, line_dedup, metric_tree, mixing, quality, token_counts, url_filter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_language_id": language_id.op2_language_id,
     "op3_mixing": mixing.op3_mixing,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_metric_tree": metric_tree.op5_metric_tree,
+    "op6_token_counts": token_counts.op6_token_counts,
     "op7_url_filter": url_filter.op7_url_filter,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_html_text": html_text.op10_html_text,
 }
 
 ORACLE_SQL = {
     "op3_mixing": mixing.OP3_SQL,
+    "op4_line_dedup": line_dedup.OP4_SQL,
     "op5_metric_tree": metric_tree.OP5_SQL,
     "op7_url_filter": url_filter.OP7_SQL,
 }
