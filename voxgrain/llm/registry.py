@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, language_id, line_dedup, metric_tree, mixing, quality, token_counts, url_filter
+from . import decontaminate, html_text, language_id, line_dedup, metric_tree, mixing, quality, set_join, token_counts, url_filter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_metric_tree": metric_tree.op5_metric_tree,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_url_filter": url_filter.op7_url_filter,
+    "op8_set_join": set_join.op8_set_join,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_html_text": html_text.op10_html_text,
 }
@@ -21,4 +22,5 @@ ORACLE_SQL = {
     "op4_line_dedup": line_dedup.OP4_SQL,
     "op5_metric_tree": metric_tree.OP5_SQL,
     "op7_url_filter": url_filter.OP7_SQL,
+    "op8_set_join": set_join.OP8_SQL,
 }
