@@ -57,14 +57,15 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, budget: f
     weight = F.element_at(F.array(*map(F.lit, weights)), ((n - 1) % len(weights) + 1).cast("int"))
     limit = (F.lit(max_repeats) * F.col("source_size")).cast("double")
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).select("source", "source_size", n.alias("n"), weight.alias("weight"), limit.alias("limit"))
-    # Raise one level for all: a source takes level * weight and stays at its limit from limit / weight on.
+    # Raise one level for all: a source takes level * weight and stays at its limit from limit / weight on. Each row has the
+    # level if all before it were full; it holds for the first row that is not, and is lower in every later one.
     rising = Window.orderBy(F.col("limit") / F.col("weight"), "n")
     before, everything = rising.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
     stopped = F.coalesce(F.sum("limit").over(before), F.lit(0.0))
     rising_weight = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0))
     level = (F.sum("source_size").over(everything) * F.lit(budget) - stopped) / rising_weight
     per = per.select("*", level.alias("level"))
-    common = F.min(F.when(F.col("level") * F.col("weight") <= F.col("limit"), F.col("level"))).over(everything)
+    common = F.max(F.when(F.col("level") * F.col("weight") <= F.col("limit"), F.col("level"))).over(everything)
     return per.select("source", "source_size", F.least(F.col("limit"), F.coalesce(common * F.col("weight"), F.col("limit"))).alias("target"))
 
 
@@ -145,7 +146,7 @@ lev as (
     / (sum(weight) over () - coalesce(sum(weight) over (order by lim / weight, n rows between unbounded preceding and 1 preceding), 0))::double as level
   from per),
 targets as (
-  select source, source_size, least(lim, coalesce(min(level) filter (where level * weight <= lim) over () * weight, lim)) as target
+  select source, source_size, least(lim, coalesce(max(level) filter (where level * weight <= lim) over () * weight, lim)) as target
   from lev),
 goal0 as (
   select source, passes, greatest(0.0, target - passes * source_size) as rest, '' as edge

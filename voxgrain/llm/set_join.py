@@ -381,3 +381,15 @@ reach as (
   select a, min(b) as component_id from r group by a)
 select s.doc_id, s.n as n_shingles, r.component_id from sized s join reach r on r.a = s.doc_id
 """
+
+
+def keep_one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id names their component; of rows that repeat a doc_id and its text, one."""
+    found = Stage(docs.sparkSession, "kept").put(link_components(docs).select("doc_id", "component_id"), "components")
+    gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti")
+    again = found.groupBy("doc_id").count().filter(F.col("count") > 1).select(F.col("doc_id").alias("id"))
+    if again.isEmpty():
+        return left
+    same = left["doc_id"].eqNullSafe(F.col("id"))
+    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
