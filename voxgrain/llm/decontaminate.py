@@ -150,18 +150,18 @@ def _judge(sent):
     return judge
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` with a struct column ``leak``: item_id (the most covered), coverage, n_items (covered to COVERAGE)."""
+def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", block_words: int = BLOCK_WORDS, into: str = "leak") -> DataFrame:
+    """``docs`` with a struct column ``into``, in place of any of that name: item_id (the most covered), coverage, n_items (covered to COVERAGE)."""
     context = docs.sparkSession.sparkContext
     columns = [_judge(context.broadcast(items))(F.col(f"`{text}`")) for items in _blocks(benchmark, block_words)]
     if not columns:
-        return docs.withColumn("leak", F.expr("named_struct('item_id', cast(null as long), 'coverage', 0D, 'n_items', 0)"))
+        return docs.withColumn(into, F.expr("named_struct('item_id', cast(null as long), 'coverage', 0D, 'n_items', 0)"))
     if len(columns) == 1:
-        return docs.withColumn("leak", columns[0])
+        return docs.withColumn(into, columns[0])
     each = F.array(*columns)
     most = F.aggregate(each, each[0], lambda a, b: F.when(b["coverage"] > a["coverage"], b).otherwise(a))
     n = F.aggregate(each, F.lit(0), lambda a, b: a + b["n_items"])
-    return docs.withColumn("leak", F.struct(most["item_id"].alias("item_id"), most["coverage"].alias("coverage"), n.alias("n_items")))
+    return docs.withColumn(into, F.struct(most["item_id"].alias("item_id"), most["coverage"].alias("coverage"), n.alias("n_items")))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,4 +171,4 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that cover no benchmark item."""
-    return contamination(docs, benchmark).filter(F.col("leak.n_items") == 0).drop("leak")
+    return contamination(docs, benchmark, into="__leak").filter(F.col("__leak.n_items") == 0).drop("__leak")

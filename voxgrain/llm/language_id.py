@@ -10,7 +10,7 @@ a hash of doc_id. Every text is then scored whole, in Arrow batches, by weights
 
 Defined results: null text, or text without a letter, is ``und`` with score 0; so is everything where nothing could
 be learned (an empty table or no lang). With one learned language every text with a letter gets it. Rows
-without lang teach nothing; repeated rows score alike; whole texts are scored, however long.
+without lang teach nothing; repeated rows score alike; whole texts are scored, however long. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -124,8 +124,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = MOST) ->
     return HierarchicalModel(np.array([vector(r["text"]) for r in rows]), [r["lang"] for r in rows])
 
 
-def predict(docs: DataFrame, model: HierarchicalModel | None, text: str = "text") -> DataFrame:
-    """``docs`` with a struct column ``language`` (lang_pred, score)."""
+def predict(docs: DataFrame, model: HierarchicalModel | None, text: str = "text", into: str = "language") -> DataFrame:
+    """``docs`` with a struct column ``into`` (lang_pred, score), in place of any column of that name."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -135,7 +135,7 @@ def predict(docs: DataFrame, model: HierarchicalModel | None, text: str = "text"
             rows = [m.predict(vector(t)) if m is not None and t is not None and _LETTER.search(t) else (UNDETERMINED, 0.0) for t in texts]
             yield pd.DataFrame(rows, columns=["lang_pred", "score"])
 
-    return docs.withColumn("language", identify(F.col(f"`{text}`")))
+    return docs.withColumn(into, identify(F.col(f"`{text}`")))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,4 +147,4 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text is in some language: all but those predicted ``und``."""
-    return predict(docs, fit(docs)).filter(F.col("language.lang_pred") != UNDETERMINED).drop("language")
+    return predict(docs, fit(docs), into="__language").filter(F.col("__language.lang_pred") != UNDETERMINED).drop("__language")

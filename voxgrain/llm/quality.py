@@ -106,7 +106,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
 
 
 def score(docs: DataFrame, weights: np.ndarray | None, text: str = "text") -> DataFrame:
-    """``docs`` with a column ``score``."""
+    """``docs`` with a column ``score``, in place of any column of that name."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     @F.pandas_udf("double")

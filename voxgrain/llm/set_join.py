@@ -388,8 +388,8 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     found = Stage(docs.sparkSession, "kept").put(link_components(docs).select("doc_id", "component_id"), "components")
     gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti")
-    again = found.groupBy("doc_id").count().filter(F.col("count") > 1).select(F.col("doc_id").alias("id"))
+    again = found.groupBy("doc_id").count().filter(F.col("count") > 1).select(F.col("doc_id").alias("__id"))
     if again.isEmpty():
         return left
-    same = left["doc_id"].eqNullSafe(F.col("id"))
+    same = left["doc_id"].eqNullSafe(F.col("__id"))
     return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))

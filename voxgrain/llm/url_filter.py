@@ -95,7 +95,7 @@ class RuleTrie:
 
 
 def judge_urls(df: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", default: str = ALLOW, trie_limit: int = 500_000) -> DataFrame:
-    """``df`` with a struct column ``judged`` (host, path, rule, verdict) for each row's URL."""
+    """``df`` with a struct column ``judged`` (host, path, rule, verdict) for each row's URL, in place of any column of that name."""
     if len(rules) > trie_limit:
         return _judge_by_join(df, rules, url, default)
     RuleTrie(rules)  # refuses bad rules here rather than on the executors
@@ -142,8 +142,8 @@ def _judge_by_join(df: DataFrame, rules: list[tuple[str, str, str]], url: str, d
     judged = F.struct(
         "host", "path", F.col("won.rule").alias("rule"), F.coalesce("won.rule_verdict", F.lit(default)).alias("verdict")
     )
-    found = urls.join(won, urls["u"].eqNullSafe(won["u"]), "left").select(urls["u"].alias("judged_url"), judged.alias("judged"))
-    return df.join(found, F.col(f"`{url}`").eqNullSafe(F.col("judged_url")), "left").drop("judged_url")
+    found = urls.join(won, urls["u"].eqNullSafe(won["u"]), "left").select(urls["u"].alias("__judged_url"), judged.alias("judged"))
+    return df.drop("judged").join(found, F.col(f"`{url}`").eqNullSafe(F.col("__judged_url")), "left").drop("__judged_url")
 
 
 #: The rules that the query is asked to apply.
