@@ -438,7 +438,7 @@ def toggles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """
 select event_id, strftime(ts, '%Y-%m-%dT%H-%M-%SZ') as stamp, date_trunc('second', ts) as back, date '1970-01-01' + (event_id % 30000)::int as day,
-  lpad(((event_id * 37 % 9000) // 60)::varchar, 2, '0') || ':' || lpad((event_id * 37 % 9000 % 60)::varchar, 2, '0') as clock,
+  format('{:02d}:{:02d}', (event_id * 37 % 9000) // 60, event_id * 37 % 9000 % 60) as clock,
   round((event_id % 5000) * 0.08::double, 6) as seconds, case when event_id % 16000 > 8000 then 16000 - event_id % 16000 else event_id % 16000 end as folded,
   case when length(props) > 8 then substr(props, 1, 8) || '...' else props end as brief from events
 """
