@@ -38,6 +38,8 @@ from .shingles import mix, shingle_set, words_of
 K, PERCENT = 5, 80
 #: Buckets of the sketch, and entries of a list beyond which a frequent token is dealt to more lists.
 BUCKETS, LIST = 1 << 16, 4096
+#: In lists of more entries than this none is dropped before heads are compared.
+WIDE = 64
 #: Bits of the filter that tells which documents' sets a later step needs, at most (16 MB).
 FILTER_BITS = 1 << 27
 BLOCK_ROWS = 1 << 17
@@ -125,7 +127,7 @@ def _index(sent):
 
 
 def _heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Streams sorted lists: drops entries that are alone, and gives every other one the head of its block.
+    """Streams sorted lists: drops entries that can link with no other of their list, and gives the rest the heads of their blocks.
 
     ``near``: it isn't the head, and positions leave room for enough overlap with it.
     """
@@ -159,7 +161,6 @@ def _blocks(b: pd.DataFrame) -> pd.DataFrame:
     token, fp, n, pos, dealt, new = (x[keep] for x in (token, fp, n.astype(np.int64), pos.astype(np.int64), dealt, new))
     starts = np.flatnonzero(new)
     sizes = np.diff(np.append(starts, len(new)))
-    kept = np.repeat(sizes > 1, sizes) | dealt
     first = np.repeat(starts, sizes)
     wide = np.logical_or.reduceat(100 * n[first] < PERCENT * n, starts)
     for start, size in zip(starts[wide].tolist(), sizes[wide].tolist()):
@@ -169,8 +170,16 @@ def _blocks(b: pd.DataFrame) -> pd.DataFrame:
                 head = i
             first[i] = head
     near = (first != np.arange(len(first))) & _room(n, pos, n[first], pos[first])
+    # Only sets that may link with another of the list, by sizes and positions, need a look at all.
+    fits = dealt | np.repeat(sizes > WIDE, sizes)
+    which = np.repeat(starts, sizes)
+    for k in range(1, min(int(sizes.max()), WIDE)):
+        x, y = slice(0, -k), slice(k, None)
+        meet = (which[x] == which[y]) & (100 * n[x] >= PERCENT * n[y]) & _room(n[x], pos[x], n[y], pos[y])
+        fits[x] |= meet
+        fits[y] |= meet
     out = pd.DataFrame({"token": token, "fp": fp, "n": n.astype(np.int32), "pos": pos.astype(np.int32), "head": fp[first], "near": near})
-    return out[kept]
+    return out[fits]
 
 
 def _bits(n: int) -> int:
