@@ -96,7 +96,7 @@ def softmax_at(values: Column, index: Column) -> Column:
     """Probability of one position (from 0); 0 where it is outside or the largest value isn't finite."""
     top = F.array_max(values)
     finite = (top < float("inf")) & (top > float("-inf"))
-    return F.when(finite & (F.size(values) > 0), F.coalesce(F.exp((F.get(values, index) - top).cast("double")) / _exp_sum(values, top), F.lit(0.0))).otherwise(F.lit(0.0))
+    return F.when(finite & (F.size(values) > 0), F.coalesce(F.try_divide(F.exp((F.get(values, index) - top).cast("double")), _exp_sum(values, top)), F.lit(0.0))).otherwise(F.lit(0.0))
 
 
 def top_two(values: Column) -> Column:
@@ -104,7 +104,7 @@ def top_two(values: Column) -> Column:
     top = F.array_max(values)
     second = F.get(F.sort_array(values, asc=False), F.lit(1))
     total = _exp_sum(values, top)
-    return F.struct((F.lit(1.0) / total).alias("p1"), F.coalesce(F.exp((second - top).cast("double")) / total, F.lit(0.0)).alias("p2"))
+    return F.struct(F.try_divide(F.lit(1.0), total).alias("p1"), F.coalesce(F.try_divide(F.exp((second - top).cast("double")), total), F.lit(0.0)).alias("p2"))
 
 
 # Arrays of samples
