@@ -20,7 +20,7 @@ rounding, and an equal bound is still visited, so ties come out by the smaller i
 Defined results: rows whose vector or id is null, or whose vector holds null or non-finite components, take no part;
 vectors of other lengths are padded with zeros; an empty vector scores 0. All rows with the query's id are its own.
 Repeated rows are candidates of their own; repeated queries are answered once. Components are to stay below 2**21 in size after scaling,
-so that sums of products stay exact. Fewer than k candidates give all of them; an empty table gives none.
+so that sums of products stay exact; beyond 2**31 they are clamped. Fewer than k candidates give all of them; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -48,8 +48,9 @@ def quantised(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding")
     """vec_id and v (integer components) of the rows that take part."""
     x = F.col(f"`{vector}`")
     bad = F.exists(x, lambda e: e.isNull() | F.isnan(e.cast("double")) | (F.abs(e.cast("double")) == float("inf")))
+    whole = lambda e: F.greatest(F.least(F.floor(e.cast("double") * SCALE), F.lit(2**31 - 1)), F.lit(-(2**31))).cast("int")
     fine = df.filter(F.col(f"`{vec_id}`").isNotNull() & x.isNotNull() & ~F.coalesce(bad, F.lit(True)))
-    return fine.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(e.cast("double") * SCALE).cast("int")).alias("v"))
+    return fine.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.transform(x, whole).alias("v"))
 
 
 def _matrix(vectors, width: int) -> np.ndarray:

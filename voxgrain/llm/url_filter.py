@@ -136,13 +136,13 @@ def _judge_by_join(df: DataFrame, rules: list[tuple[str, str, str]], url: str, d
         urls.withColumn("suffix", F.explode(suffixes))
         .join(flat, "suffix")
         .filter(F.col("path").startswith(F.col("prefix")))
-        .groupBy("u")
+        .groupBy(F.col("u").alias("of_url"))
         .agg(F.max_by(F.struct("rule", "rule_verdict"), F.struct("labels", F.length("prefix"))).alias("won"))
     )
     judged = F.struct(
         "host", "path", F.col("won.rule").alias("rule"), F.coalesce("won.rule_verdict", F.lit(default)).alias("verdict")
     )
-    found = urls.join(won, urls["u"].eqNullSafe(won["u"]), "left").select(urls["u"].alias("__judged_url"), judged.alias("judged"))
+    found = urls.join(won, F.col("u").eqNullSafe(F.col("of_url")), "left").select(F.col("u").alias("__judged_url"), judged.alias("judged"))
     return df.drop("judged").join(found, F.col(f"`{url}`").eqNullSafe(F.col("__judged_url")), "left").drop("__judged_url")
 
 
