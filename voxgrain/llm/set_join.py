@@ -4,17 +4,19 @@ A document is the set of its distinct ``K``-word shingles; two link at a Jaccard
 between different sets is missed, and no group of alike sets is ever listed pair by pair:
 
 1. Sets. Documents with one set are one class from here on. A sketch counts shingles by hash bucket.
-2. Index. A set's tokens are ordered by (count of the token's bucket, token), rare ones first. Sets that link share one of their
+2. Heads. Sets that agree in two min-hashes meet, in ``BANDS`` places each, and only the first of them is compared with the others: a few
+   pairs for each set, however large a group of alike sets is. This finds most links; it needn't find all.
+3. Index. A set's tokens are ordered by (count of the token's bucket, token), rare ones first. Sets that link share one of their
    first n - ceil(0.8 n) + 1 tokens, so only these are indexed: entries (token, set, n, position). What the sketch shows to be a
    frequent token is dealt to several lists by a hash of the set; lists have bounded length.
-3. Skipping by position. A list is sorted by set size. It is cut into blocks by size, and every set is paired only with the
-   head of its block: a set that is too small for it opens the next one. Pairs whose positions leave too little overlap are skipped.
-4. Answers from similar sets. A set that links to a head takes part from now on through that head: 1 - Jaccard is a
+4. Skipping by position. A list is sorted by set size; an entry stays only if the sizes and positions of it and another leave
+   room for a link, and a list is searched in blocks of sizes that can link.
+5. Answers from similar sets. A set that links to a head takes part from now on through that head: 1 - Jaccard is a
    metric, so with x at distance d(x, h) of its head h and y at d(y, g) of g, d(x, y) >= d(h, g) - d(x, h) - d(y, g). Lists whose
    entries are in one component are done. Elsewhere the heads (a set without a head is its own) of entries of different components
    are compared once: a link joins the components; a distance beyond what the bound leaves open settles all pairs behind it; for
    the few heads in between, the sets behind them are compared themselves.
-5. Components of the links by propagation of the least label, with pointer jumping, as joins of staged tables.
+6. Components of the links by propagation of the least label, with pointer jumping, as joins of staged tables.
 
 Only links that can join two components are computed; those implied inside a component are not counted.
 
@@ -44,9 +46,12 @@ WIDE = 64
 FILTER_BITS = 1 << 27
 BLOCK_ROWS = 1 << 17
 
-SETS = "doc_id long, fp long, n int, bucket_counts binary"
+SETS = "doc_id long, fp long, n int, bands array<long>, bucket_counts binary"
 ENTRIES = "token long, salt int, fp long, n int, pos int, dealt boolean"
-LISTED = "token long, fp long, n int, pos int, head long, near boolean"
+LISTED = "token long, fp long, n int, pos int"
+#: Places where alike sets meet, and odd numbers that make their min-hashes.
+BANDS = 4
+_HASHES = mix(np.arange(1, 2 * BANDS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def _fingerprint(s: np.ndarray) -> int:
@@ -57,17 +62,25 @@ def _fingerprint(s: np.ndarray) -> int:
     return int((h[0] ^ (h[1] << np.uint64(1))).view(np.int64))
 
 
+def _bands(s: np.ndarray) -> np.ndarray:
+    """Pairs of min-hashes of a set."""
+    least = np.array([mix(s * m).min() for m in _HASHES])
+    return mix(least[::2] * _HASHES[0] + least[1::2] + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+
+
 def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Class and size of each document and, in a last row, the task's counts of shingles by bucket."""
+    """Class, size and min-hashes of each document and, in a last row, the task's counts of shingles by bucket."""
     counts = np.zeros(BUCKETS, np.uint32)
     for b in batches:
-        fps, sizes = np.zeros(len(b), np.int64), np.zeros(len(b), np.int32)
+        fps, sizes, bands = np.zeros(len(b), np.int64), np.zeros(len(b), np.int32), [None] * len(b)
         for i, text in enumerate(b["text"]):
             s = shingle_set(words_of(text), K)
             fps[i], sizes[i] = _fingerprint(s), len(s)
+            if len(s):
+                bands[i] = _bands(s)
             np.add.at(counts, (s & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
-        yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": fps, "n": sizes, "bucket_counts": None})
-    yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "fp": [0], "n": np.array([-1], "int32"), "bucket_counts": [counts.tobytes()]})
+        yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": fps, "n": sizes, "bands": bands, "bucket_counts": None})
+    yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "fp": [0], "n": np.array([-1], "int32"), "bands": [None], "bucket_counts": [counts.tobytes()]})
 
 
 def _sum_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -92,11 +105,11 @@ def _prefix(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1
 
 
-def _index(sent):
+def _index(sent, most: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = sent.value
         usual = counts.mean() + 6 * np.sqrt(counts.mean() + 1)
-        deals = (1 + np.maximum(0, counts - usual) // LIST).astype(np.uint64)
+        deals = (1 + np.maximum(0, counts - usual) // most).astype(np.uint64)
         seen: set[int] = set()
         out, size = [], 0
 
@@ -126,24 +139,25 @@ def _index(sent):
     return run
 
 
-def _heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Streams sorted lists: drops entries that can link with no other of their list, and gives the rest the heads of their blocks.
+def _lists(wide: int):
+    """Streams sorted lists and keeps the entries that may link with another of their list."""
 
-    ``near``: it isn't the head, and positions leave room for enough overlap with it.
-    """
-    rest = None
-    for b in batches:
-        b = b if rest is None else pd.concat([rest, b], ignore_index=True)
-        if not len(b):
-            continue
-        token, salt = b["token"].to_numpy(), b["salt"].to_numpy()
-        others = np.flatnonzero((token != token[-1]) | (salt != salt[-1]))
-        cut = others[-1] + 1 if len(others) else 0
-        rest = b.iloc[cut:]
-        if cut:
-            yield _blocks(b.iloc[:cut])
-    if rest is not None and len(rest):
-        yield _blocks(rest)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for b in batches:
+            b = b if rest is None else pd.concat([rest, b], ignore_index=True)
+            if not len(b):
+                continue
+            token, salt = b["token"].to_numpy(), b["salt"].to_numpy()
+            others = np.flatnonzero((token != token[-1]) | (salt != salt[-1]))
+            cut = others[-1] + 1 if len(others) else 0
+            rest = b.iloc[cut:]
+            if cut:
+                yield _fitting(b.iloc[:cut], wide)
+        if rest is not None and len(rest):
+            yield _fitting(rest, wide)
+
+    return run
 
 
 def _room(n: np.ndarray, pos: np.ndarray, n2: np.ndarray, pos2: np.ndarray) -> np.ndarray:
@@ -151,8 +165,11 @@ def _room(n: np.ndarray, pos: np.ndarray, n2: np.ndarray, pos2: np.ndarray) -> n
     return np.minimum(n - pos, n2 - pos2) * (100 + PERCENT) >= PERCENT * (n + n2)
 
 
-def _blocks(b: pd.DataFrame) -> pd.DataFrame:
-    """Heads of whole lists; rows are sorted by list, set size, set."""
+def _fitting(b: pd.DataFrame, wide: int) -> pd.DataFrame:
+    """Entries of whole lists whose sizes and positions leave room for a link; rows are sorted by list, set size, set.
+
+    Lists that were dealt out, or have more than ``wide`` entries, are kept as they are.
+    """
     token, salt, fp, n, pos, dealt = (b[c].to_numpy() for c in ("token", "salt", "fp", "n", "pos", "dealt"))
     new = np.ones(len(b), bool)
     new[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])
@@ -161,25 +178,14 @@ def _blocks(b: pd.DataFrame) -> pd.DataFrame:
     token, fp, n, pos, dealt, new = (x[keep] for x in (token, fp, n.astype(np.int64), pos.astype(np.int64), dealt, new))
     starts = np.flatnonzero(new)
     sizes = np.diff(np.append(starts, len(new)))
-    first = np.repeat(starts, sizes)
-    wide = np.logical_or.reduceat(100 * n[first] < PERCENT * n, starts)
-    for start, size in zip(starts[wide].tolist(), sizes[wide].tolist()):
-        head = start
-        for i in range(start, start + size):
-            if 100 * n[head] < PERCENT * n[i]:
-                head = i
-            first[i] = head
-    near = (first != np.arange(len(first))) & _room(n, pos, n[first], pos[first])
-    # Only sets that may link with another of the list, by sizes and positions, need a look at all.
-    fits = dealt | np.repeat(sizes > WIDE, sizes)
     which = np.repeat(starts, sizes)
-    for k in range(1, min(int(sizes.max()), WIDE)):
+    fits = dealt | np.repeat(sizes > wide, sizes)
+    for k in range(1, min(int(sizes.max()), wide)):
         x, y = slice(0, -k), slice(k, None)
         meet = (which[x] == which[y]) & (100 * n[x] >= PERCENT * n[y]) & _room(n[x], pos[x], n[y], pos[y])
         fits[x] |= meet
         fits[y] |= meet
-    out = pd.DataFrame({"token": token, "fp": fp, "n": n.astype(np.int32), "pos": pos.astype(np.int32), "head": fp[first], "near": near})
-    return out[fits]
+    return pd.DataFrame({"token": token, "fp": fp, "n": n.astype(np.int32), "pos": pos.astype(np.int32)})[fits]
 
 
 def _bits(n: int) -> int:
@@ -310,19 +316,30 @@ def _pairs(out: list) -> pd.DataFrame:
     return pd.DataFrame({"a": a, "b": b, "far": far}).groupby(["a", "b"], as_index=False)["far"].max()
 
 
-def classes(docs: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame]:
+def _stars(rows: DataFrame, stage: Stage) -> DataFrame:
+    """a, b: for each meeting place its least set, and every other set there whose size can link with it."""
+    one = rows.groupBy("fp").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
+    placed = stage.put(one.select("fp", "n", F.explode("bands").alias("place")), "placed")
+    heads = placed.groupBy("place").agg(F.count("*").alias("k"), F.min(F.struct("fp", "n")).alias("head")).filter(F.col("k") > 1)
+    heads = stage.put(heads.select(F.col("place").alias("at"), F.col("head.fp").alias("a"), F.col("head.n").alias("m")), "heads")
+    met = placed.join(heads, F.col("place") == F.col("at")).filter((F.col("fp") != F.col("a")) & (100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m")))
+    return met.select("a", F.col("fp").alias("b")).distinct()
+
+
+def classes(docs: DataFrame, stage: Stage, most: int = LIST, wide: int = WIDE) -> tuple[DataFrame, DataFrame]:
     """(doc_id, fp, n) of every row of ``docs`` and (node, label) of every class that links with another."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     described = stage.put(texts.mapInPandas(_describe, SETS), "classes")
     sent = docs.sparkSession.sparkContext.broadcast(_sketch(described.filter(F.col("n") < 0)))
     rows = described.filter(F.col("n") >= 0).select("doc_id", "fp", "n")
+    stars = stage.put(_stars(described.filter(F.col("n") > 0), stage), "stars")
 
-    entries = texts.select("text").mapInPandas(_index(sent), ENTRIES)
-    listed = stage.put(entries.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "fp").mapInPandas(_heads, LISTED), "lists")
-    wanted = stage.put(listed.select("fp").distinct(), "wanted")
+    entries = texts.select("text").mapInPandas(_index(sent, most), ENTRIES)
+    listed = stage.put(entries.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "fp").mapInPandas(_lists(wide), LISTED), "lists")
+    wanted = stage.put(listed.select("fp").unionByName(stars.select(F.explode(F.array("a", "b")).alias("fp"))).distinct(), "wanted")
     sets = stage.put(_sets_of(texts, wanted, wanted.count()), "sets")
 
-    one = stage.put(_compare(listed.filter("near").select(F.col("head").alias("a"), F.col("fp").alias("b")).distinct(), sets).filter(_linked()), "links-1")
+    one = stage.put(_compare(stars, sets).filter(_linked()), "links-1")
     labels = components(one, stage, "components-1")
     # The head through which a set takes part from here on: the one that it is most like.
     like = F.col("shared") / F.col("united")
@@ -354,10 +371,10 @@ def classes(docs: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame]:
     return rows, components(links.unionByName(three.select("a", "b")), stage, "components-3")
 
 
-def link_components(docs: DataFrame) -> DataFrame:
+def link_components(docs: DataFrame, most: int = LIST, wide: int = WIDE) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs`` (doc_id, text)."""
     stage = Stage(docs.sparkSession, "sets")
-    rows, labels = classes(docs, stage)
+    rows, labels = classes(docs, stage, most, wide)
     least = rows.filter(F.col("n") > 0).groupBy("fp").agg(F.min("doc_id").alias("doc"))
     labelled = stage.put(least.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "doc", F.coalesce("label", "fp").alias("label")), "labelled")
     least = stage.put(labelled.groupBy("label").agg(F.min("doc").alias("component")).withColumnRenamed("label", "of"), "least")
