@@ -4,8 +4,8 @@ A document is the set of its distinct ``K``-word shingles; two link at a Jaccard
 between different sets is missed, and no group of alike sets is ever listed pair by pair:
 
 1. Sets. Documents with one set are one class from here on. A sketch counts shingles by hash bucket.
-2. Heads. Sets that agree in two min-hashes meet, in ``BANDS`` places each, and only the first of them is compared with the others: a few
-   pairs for each set, however large a group of alike sets is. This finds most links; it needn't find all.
+2. Heads. Sets that agree in two min-hashes meet, in ``BANDS`` places each, and only the first and the last there are compared with the
+   others: a few pairs for each set, however large a group of alike sets is. This finds most links; it needn't find all.
 3. Index. A set's tokens are ordered by (count of the token's bucket, token), rare ones first. Sets that link share one of their
    first n - ceil(0.8 n) + 1 tokens, so only these are indexed: entries (token, set, n, position). What the sketch shows to be a
    frequent token is dealt to several lists by a hash of the set; lists have bounded length.
@@ -39,7 +39,7 @@ from .shingles import mix, shingle_set, words_of
 
 K, PERCENT = 5, 80
 #: Buckets of the sketch, and entries of a list beyond which a frequent token is dealt to more lists.
-BUCKETS, LIST = 1 << 16, 4096
+BUCKETS, LIST = 1 << 20, 4096
 #: In lists of more entries than this none is dropped before heads are compared.
 WIDE = 64
 #: Bits of the filter that tells which documents' sets a later step needs, at most (16 MB).
@@ -92,13 +92,13 @@ def _sum_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _sketch(rows: DataFrame) -> np.ndarray:
-    """The counts of all tasks, added up on the executors; the driver adds what 16 tasks have left."""
-    for width in (256, 16):
+    """The counts of all tasks, added up on the executors; the driver adds what 8 tasks have left."""
+    for width in (64, 8):
         rows = rows.select("bucket_counts").repartition(width).mapInPandas(_sum_counts, "bucket_counts binary")
     total = np.zeros(BUCKETS, np.uint64)
     for r in rows.toLocalIterator():
         total += np.frombuffer(r["bucket_counts"], np.uint64)
-    return total
+    return np.minimum(total, np.uint64(2**32 - 1)).astype(np.uint32)
 
 
 def _prefix(n: int) -> int:
@@ -107,7 +107,7 @@ def _prefix(n: int) -> int:
 
 def _index(sent, most: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = sent.value
+        counts = sent.value.astype(np.int64)
         usual = counts.mean() + 6 * np.sqrt(counts.mean() + 1)
         deals = (1 + np.maximum(0, counts - usual) // most).astype(np.uint64)
         seen: set[int] = set()
@@ -317,13 +317,21 @@ def _pairs(out: list) -> pd.DataFrame:
 
 
 def _stars(rows: DataFrame, stage: Stage) -> DataFrame:
-    """a, b: for each meeting place its least set, and every other set there whose size can link with it."""
+    """a, b, turn: for each meeting place its least set (turn 1) or its last one (turn 2), and every other set there whose size can link with it."""
     one = rows.groupBy("fp").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
     placed = stage.put(one.select("fp", "n", F.explode("bands").alias("place")), "placed")
-    heads = placed.groupBy("place").agg(F.count("*").alias("k"), F.min(F.struct("fp", "n")).alias("head")).filter(F.col("k") > 1)
-    heads = stage.put(heads.select(F.col("place").alias("at"), F.col("head.fp").alias("a"), F.col("head.n").alias("m")), "heads")
+    ends = placed.groupBy("place").agg(F.min(F.struct("fp", "n")).alias("first"), F.max(F.struct("fp", "n")).alias("last")).filter(F.col("first.fp") < F.col("last.fp"))
+    heads = ends.select(F.col("place").alias("at"), F.explode(F.array(F.struct(F.lit(1).alias("turn"), "first.fp", "first.n"), F.struct(F.lit(2).alias("turn"), "last.fp", "last.n"))).alias("head"))
+    heads = stage.put(heads.select("at", "head.turn", F.col("head.fp").alias("a"), F.col("head.n").alias("m")), "heads")
     met = placed.join(heads, F.col("place") == F.col("at")).filter((F.col("fp") != F.col("a")) & (100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m")))
-    return met.select("a", F.col("fp").alias("b")).distinct()
+    return met.groupBy("a", F.col("fp").alias("b")).agg(F.min("turn").alias("turn"))
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) whose sets are in different components by ``labels`` (node, label)."""
+    for c in ("a", "b"):
+        pairs = pairs.join(labels.select(F.col("node").alias(f"n{c}"), F.col("label").alias(f"l{c}")), F.col(c) == F.col(f"n{c}"), "left")
+    return pairs.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
 
 
 def classes(docs: DataFrame, stage: Stage, most: int = LIST, wide: int = WIDE) -> tuple[DataFrame, DataFrame]:
@@ -339,7 +347,11 @@ def classes(docs: DataFrame, stage: Stage, most: int = LIST, wide: int = WIDE) -
     wanted = stage.put(listed.select("fp").unionByName(stars.select(F.explode(F.array("a", "b")).alias("fp"))).distinct(), "wanted")
     sets = stage.put(_sets_of(texts, wanted, wanted.count()), "sets")
 
-    one = stage.put(_compare(stars, sets).filter(_linked()), "links-1")
+    one = stage.put(_compare(stars.filter(F.col("turn") == 1).select("a", "b"), sets).filter(_linked()), "links-1")
+    labels = components(one, stage, "components-0")
+    # The last sets of the places are compared only with those that the first ones have left apart.
+    more = stage.put(_compare(_apart(stars.filter(F.col("turn") == 2), labels), sets).filter(_linked()), "links-2")
+    one = one.unionByName(more)
     labels = components(one, stage, "components-1")
     # The head through which a set takes part from here on: the one that it is most like.
     like = F.col("shared") / F.col("united")
@@ -364,10 +376,10 @@ def classes(docs: DataFrame, stage: Stage, most: int = LIST, wide: int = WIDE) -
     y = joined.select(F.col("token").alias("ty"), F.col("root").alias("b"), F.col("fp").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"))
     fits = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) * (100 + PERCENT) >= PERCENT * (F.col("nx") + F.col("ny"))
     pairs = behind.join(x, "a").join(y, "b").filter((F.col("token") == F.col("ty")) & fits).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    for c in ("a", "b"):
-        pairs = pairs.join(labels.select(F.col("node").alias(f"n{c}"), F.col("label").alias(f"l{c}")), F.col(c) == F.col(f"n{c}"), "left")
-    pairs = pairs.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+    pairs = _apart(pairs, labels)
     three = stage.put(_compare(pairs, sets).filter(_linked()), "links-3")
+    if three.isEmpty():
+        return rows, labels
     return rows, components(links.unionByName(three.select("a", "b")), stage, "components-3")
 
 
