@@ -88,3 +88,13 @@ def test_entries_without_a_partner_go():
     b = pd.DataFrame({"token": [1] * 4 + [2], "salt": [0] * 5, "fp": [10, 11, 12, 13, 10], "n": [10, 12, 20, 30, 10], "pos": [0] * 5, "dealt": [False] * 5})
     assert set_join._fitting(b, 64)["fp"].tolist() == [10, 11]
     assert not len(set_join._fitting(b.assign(pos=[9, 11, 19, 29, 9]), 64)) and len(set_join._fitting(b, 2)) == 4
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    """A copy goes without the other row of its doc_id; of near copies without an id one stays, or none beside one with an id."""
+    text = lambda k: " ".join(f"{k}{i}" for i in range(50))
+    rows = [(1, text("a")), (5, text("a") + " x"), (5, text("b")), (7, text("b") + " x"), (8, text("c")), (None, text("c") + " x")]
+    rows += [(None, text("d")), (None, text("d") + " x"), (None, text("d")), (9, text("e")), (9, text("e").upper()), (None, None), (4, None)]
+    kept = keep_one_of_each(spark.createDataFrame([(*r, "a", "b", "c") for r in rows], SCHEMA))
+    got = [(r["doc_id"], (r["text"] or "-")[0].lower()) for r in kept.collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(1, "a"), (5, "b"), (8, "c"), (None, "d"), (9, "e"), (None, "-"), (4, "-")]))

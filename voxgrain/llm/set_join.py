@@ -33,6 +33,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
+from pyspark.sql.window import Window
 
 from .common import Stage, table
 from .shingles import mix, shingle_set, words_of
@@ -421,13 +423,32 @@ select s.doc_id, s.n as n_shingles, r.component_id from sized s join reach r on
 """
 
 
+@F.pandas_udf(LongType())
+def _class_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for texts in batches:
+        yield texts.map(lambda text: _fingerprint(shingle_set(words_of(text), K)), na_action=None).astype(np.int64)
+
+
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their component; of rows that repeat a doc_id and its text, one."""
-    found = Stage(docs.sparkSession, "kept").put(link_components(docs).select("doc_id", "component_id"), "components")
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    again = found.groupBy("doc_id").count().filter(F.col("count") > 1).select(F.col("doc_id").alias("__id"))
-    if again.isEmpty():
+    """One row of ``docs`` for each component: of its smallest doc_id, null after all others; then of the least class hash and text.
+
+    Rows with an empty set all stay, but for those that repeat a doc_id and its text.
+    """
+    stage = Stage(docs.sparkSession, "kept")
+    rows, labels = classes(docs, stage)
+    found = rows.filter(F.col("n") > 0).join(labels, F.col("fp") == F.col("node"), "left")
+    found = stage.put(found.select("doc_id", "fp", F.coalesce("label", "fp").alias("label")), "components")
+    first = found.groupBy(F.col("label").alias("of")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "fp")).alias("first"))
+    other = ~F.col("doc_id").eqNullSafe(F.col("first.doc_id")) | (F.col("fp") != F.col("first.fp"))
+    gone = stage.put(found.join(first, F.col("label") == F.col("of")).filter(other).select(F.col("doc_id").alias("__id"), F.col("fp").alias("__gone")), "gone")
+    # A doc_id that one row has names that row; rows that share one or have none are told apart by their class.
+    again = stage.put(rows.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__id")).count().filter(F.col("count") > 1).select("__id"), "again")
+    named = docs.filter(F.col("doc_id").isNotNull())
+    left = named.join(gone.select("__id").unionByName(again), F.col("doc_id") == F.col("__id"), "left_anti")
+    if again.isEmpty() and rows.filter(F.col("doc_id").isNull()).isEmpty():
         return left
-    same = left["doc_id"].eqNullSafe(F.col("__id"))
-    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    shared = named.join(again, F.col("doc_id") == F.col("__id"), "left_semi").unionByName(docs.filter(F.col("doc_id").isNull()))
+    shared = shared.withColumn("__class", _class_of(F.col("text")))
+    shared = shared.join(gone.distinct(), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__class") == F.col("__gone")), "left_anti")
+    one = Window.partitionBy("doc_id", "__class", F.when(F.col("__class") == 0, F.col("text"))).orderBy("text")
+    return left.unionByName(shared.withColumn("__at", F.row_number().over(one)).filter(F.col("__at") == 1).drop("__class", "__at"))
