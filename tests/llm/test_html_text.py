@@ -34,3 +34,12 @@ def test_smoothing_keeps_the_level():
     import numpy as np
 
     assert np.allclose(smoothed(np.full(9, 7.0)), 7)
+
+
+def test_marks_and_regions_of_articles():
+    """Names of the page's and the article's own element mark nothing, and short parts of an article stay with it."""
+    text = "".join(f"<p>{'long running text of the page ' * 8}{i}</p>" for i in range(5))
+    whole = main_text(f"<body><article>{text}</article></body>")
+    assert whole and main_text(f'<html class="menu"><body class="right-sidebar"><article class="post social">{text}</article></body>') == whole
+    links = "".join(f'<p><a href="/{i}">a</a> <a href="/x">b</a></p>' for i in range(9))
+    assert main_text(f"<body><article>{text}<div>{links}<p>Short.</p></div></article></body>").endswith("\nShort.")

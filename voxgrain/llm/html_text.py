@@ -5,7 +5,7 @@ tags of each. The ratio of text to tags is high in running text and low in menus
 neighbouring lines, the lines above a threshold (the spread of the smoothed ratios) seed content regions, and a
 region that holds a seed is kept whole, short lines included. What markup already names is settled first: lines
 inside menus, headers, footers, sidebars, forms, adverts, notices, scripts, styles or reader comments are never
-content, and where the page has an article or main element, only what is inside it can be.
+content, and where the page has an article or main element, only what is inside it can be. Each such element is one region.
 
 Defined results: null or empty html gives an empty text; a page without text outside the excluded parts gives an
 empty text; a page in which no line stands out keeps the region with the best line. Broken markup is read as
@@ -45,6 +45,8 @@ MARKS = frozenset(
 #: These count only outside the article, whose own parts may be called so.
 OUTER_MARKS = frozenset("header".split())
 CONTENT = frozenset(["article", "main"])
+#: Their class, id or role never marks their text.
+UNMARKED = CONTENT | {"html", "body"}
 REGIONS = frozenset("article main section div td body html".split())
 #: Of the Gaussian, in lines.
 SIGMA = 1.0
@@ -80,20 +82,22 @@ class _Lines(HTMLParser):
             if tag == "hr":
                 self.end_line()
             return
-        out = self.out or tag in EXCLUDED or self._marked(attrs)
+        out = self.out or tag in EXCLUDED or self._marked(tag, attrs)
         if tag not in INLINE or out != self.out:
             self.end_line()
             self.tags = max(self.tags, 1)
         region = self.region
-        if tag in REGIONS:
+        if tag in REGIONS and not self.inside:  # what an article holds is of its region
             self.regions += 1
             region = self.regions
         self.stack.append((tag, out, self.inside or tag in CONTENT, region))
         self._state()
 
-    def _marked(self, attrs) -> bool:
+    def _marked(self, tag, attrs) -> bool:
         for name, value in attrs:
             if name in ("class", "id", "role"):
+                if tag in UNMARKED:
+                    continue
                 words = set(map(str.lower, _MARK.findall(value or "")))
                 if words & MARKS or not self.inside and words & OUTER_MARKS:
                     return True
