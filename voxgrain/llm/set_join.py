@@ -10,7 +10,7 @@ between different sets is missed, and no group of alike sets is ever listed pair
    first n - ceil(0.8 n) + 1 tokens, so only these are indexed: entries (token, set, n, position). What the sketch shows to be a
    frequent token is dealt to several lists by a hash of the set; lists have bounded length.
 4. Skipping by position. A list is sorted by set size; an entry stays only if the sizes and positions of it and another leave
-   room for a link, and a list is searched in blocks of sizes that can link.
+   room for a link. Lists of more than ``WIDE`` entries are kept as they are; no blocks are skipped.
 5. Answers from similar sets. A set that links to a head takes part from now on through that head: 1 - Jaccard is a
    metric, so with x at distance d(x, h) of its head h and y at d(y, g) of g, d(x, y) >= d(h, g) - d(x, h) - d(y, g). Lists whose
    entries are in one component are done. Elsewhere the heads (a set without a head is its own) of entries of different components
