@@ -24,14 +24,20 @@ def test_distance_and_alignment(spark):
     pairs.append(("the quick brown fox jumps".split(), "the quick red fox jumps over".split()))
     df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a array<string>, b array<string>")
     a, b = F.col("a"), F.col("b")
-    rows = sorted(df.select("i", E.word_distance(a, b).alias("d"), E.word_distance(a, b, most=0).alias("f"), E.error_rate(a, b).alias("w"), E.matched(a, b).alias("m")).collect())
+    rows = sorted(df.select("i", E.word_distance(a, b).alias("d"), E.error_rate(a, b).alias("w"), E.matched(a, b).alias("m")).collect())
     for r, (x, y) in zip(rows, pairs):
-        assert r.d == r.f == distance(x, y)
+        assert r.d == distance(x, y)
         assert r.w == r.d / len(x) if x else (math.isnan(r.w) if not y else math.isinf(r.w))
         assert sum(r.m.of_a) == sum(r.m.of_b) and [w for w, k in zip(x, r.m.of_a) if k] == [w for w, k in zip(y, r.m.of_b) if k]
     assert rows[-1].d == 2 and rows[-1].w == 0.4
 
 
+def test_distance_of_many_words(spark):
+    x, y = [f"w{i}" for i in range(9000)], [f"v{i}" for i in range(100)] + [f"w{i}" for i in range(0, 9000)]
+    df = spark.createDataFrame([(x, y)], "a array<string>, b array<string>")
+    assert df.select(E.word_distance(F.col("a"), F.col("b"))).first()[0] == 100
+
+
 def test_spans(spark):
     a, b = "one two three four five six seven x eight nine ten a b c d".split(), "one two three four five six seven y eight nine ten a b c d".split()
     df = spark.createDataFrame([(a, b)], "a array<string>, b array<string>")

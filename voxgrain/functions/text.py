@@ -5,6 +5,7 @@ All of them keep null as null. Word characters, boundaries and white space are U
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -89,6 +90,11 @@ SPECIAL_TOKENS = ["<|text_chunk_end|>", "<|object_ref_start|>", "<|object_ref_en
 WORD_PIECE_MARK = "▁"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _each(text: Column, steps: list[tuple[str, str]]) -> Column:
     return reduce(lambda t, step: F.regexp_replace(t, step[0], step[1]), steps, text)
 
@@ -114,14 +120,14 @@ def _settled(text: Column, pattern: str) -> Column:
     A pass that changes anything removes a word, so as many passes as there are words always do; once a pass
     changes nothing, the others cost no matching.
     """
-    start = F.struct(text.alias("t"), F.lit(False).alias("done"))
-    passes = F.sequence(F.lit(0), F.size(F.split(text, r"(?U)\s+")))
-
     def step(state: Column, _: Column) -> Column:
-        again = F.transform(F.array(F.regexp_replace(state["t"], pattern, "$1")), lambda n: F.struct(n.alias("t"), (n == state["t"]).alias("done")))
-        return F.when(state["done"], state).otherwise(F.element_at(again, 1))
+        again = bound(F.regexp_replace(state["t"], pattern, "$1"), lambda n: F.struct(n.alias("t"), (n == state["t"]).alias("done")))
+        return F.when(state["done"], state).otherwise(again)
+
+    def settle(t: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(0), F.size(F.split(t, r"(?U)\s+"))), F.struct(t.alias("t"), F.lit(False).alias("done")), step)["t"]
 
-    return F.aggregate(passes, start, step)["t"]
+    return bound(text, settle)
 
 
 def clean_repetitions(text: Column) -> Column:

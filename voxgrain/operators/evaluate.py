@@ -11,38 +11,32 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-#: Distinct words of a pair that fit a block of code points; beyond it the distance is folded over the words themselves.
-_FIRST, _MOST = 0x4E00, 20_000
+from ..functions.text import bound
 
+#: The first code point that stands for a word, and how many there are from it on.
+_FIRST, _MOST = 0x10000, 0x100000
 
-def word_distance(a: Column, b: Column, most: int = _MOST) -> Column:
-    """Edit distance of two arrays of words, in the JVM: each distinct word of the pair becomes one character."""
-    words = F.array_distinct(F.concat(a, b))
 
-    def coded(x: Column) -> Column:
-        return F.array_join(F.transform(x, lambda w: F.decode(F.unhex(F.hex(F.lit(_FIRST) + F.array_position(words, w))), "UTF-16BE")), "")
+def word_distance(a: Column, b: Column) -> Column:
+    """Edit distance of two arrays of words, in the JVM: each distinct word of the pair becomes one character.
 
-    return F.when(F.size(words) <= most, F.levenshtein(coded(a), coded(b))).otherwise(_folded_distance(a, b))
-
-
-def _folded_distance(a: Column, b: Column) -> Column:
-    """The same by dynamic programming, a row of the table for each word of ``a``."""
-    first = F.sequence(F.lit(0), F.size(b))
+    There are 2**20 characters for it; a pair with more distinct words is an error.
+    """
 
-    def row(above: Column, w: Column) -> Column:
-        def cell(left: Column, j: Column) -> Column:
-            change = F.get(above, j - 1) + F.when(F.get(b, j - 1) == w, 0).otherwise(1)
-            return F.concat(left, F.array(F.least(F.get(above, j) + 1, F.element_at(left, -1) + 1, change)))
+    def coded(x: Column, words: Column) -> Column:
+        code = lambda w: F.lpad(F.hex(F.lit(_FIRST - 1) + F.array_position(words, w)), 8, "0")
+        return F.decode(F.unhex(F.array_join(F.transform(x, code), "")), "UTF-32")
 
-        columns = F.when(F.size(b) > 0, F.sequence(F.lit(1), F.size(b))).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(columns, F.array(F.get(above, F.lit(0)) + 1), cell)
+    def distance(words: Column) -> Column:
+        return F.when(F.size(words) <= _MOST, F.levenshtein(coded(a, words), coded(b, words))).otherwise(F.raise_error(F.lit("a pair of texts has too many distinct words")).cast("int"))
 
-    return F.element_at(F.aggregate(a, first, row), -1)
+    return bound(F.array_distinct(F.concat(a, b)), distance)
 
 
-def error_rate(reference: Column, hypothesis: Column) -> Column:
-    """Word error rate: distance over the number of reference words. Without any it is NaN for two empty sides, else infinite."""
-    n, distance = F.size(reference), word_distance(reference, hypothesis)
+def error_rate(reference: Column, hypothesis: Column, distance: Column | None = None) -> Column:
+    """Word error rate: distance (given, if known) over the number of reference words. Without any it is NaN for two empty sides, else infinite."""
+    n = F.size(reference)
+    distance = word_distance(reference, hypothesis) if distance is None else distance
     empty = F.when(F.size(hypothesis) == 0, F.lit(float("nan"))).otherwise(F.lit(float("inf")))
     return F.when(n == 0, empty).otherwise(distance / n)
 

@@ -37,9 +37,19 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
 
 
+def _tasks(spark: SparkSession) -> int:
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _spread(scan: DataFrame) -> DataFrame:
+    """A scan of fewer splits than there are cores, dealt to all of them: what follows costs far more than a shuffle."""
+    few = scan._jdf.queryExecution().toRdd().getNumPartitions() < scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(_tasks(scan.sparkSession)) if few else scan
+
+
 def _pass(function, name: str, sql: str | None = None) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _turns(spark, sf_dir).select("conv_id", "turn", function(F.col("text")).alias("text"))
+        return _spread(_turns(spark, sf_dir)).select("conv_id", "turn", function(F.col("text")).alias("text"))
 
     run.__name__ = name
     query(sql)(run)
@@ -70,7 +80,7 @@ _pass(T.restore_contractions, "restore_contractions")
 @query()
 def fix_transcription(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn repaired, with whether that changed it; assistants' turns as the long profile."""
-    turns = _table(spark, sf_dir, "conversations")
+    turns = _spread(_table(spark, sf_dir, "conversations"))
     shaped = T.apply_profile(F.col("text"), F.when(F.col("role") == "assistant", "Long").otherwise("Raw"))
     fixed = turns.select("conv_id", "turn", "role", "text", T.fix_transcription(shaped).alias("fixed"))
     return fixed.select("conv_id", "turn", "role", "fixed", (F.col("fixed") != F.col("text")).alias("changed"))
@@ -121,14 +131,16 @@ d as (
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _turns(spark, sf_dir).select("conv_id", "turn", T.eval_tokens(F.col("text")).alias("w"))
     after = turns.select(F.col("conv_id"), (F.col("turn") - 1).alias("turn"), F.col("w").alias("v"))
-    return turns.join(after, ["conv_id", "turn"])
+    # What is done with a pair costs far more than its join, so partitions are not to be merged by their bytes.
+    dealt = (df.repartition(_tasks(spark), "conv_id", "turn") for df in (turns, after))
+    return next(dealt).join(next(dealt), ["conv_id", "turn"])
 
 
 @query(_PAIRS + "select conv_id, turn, distance, round(distance / n, 9) as wer from d where n > 0")
 def turn_wer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word error rates of consecutive turns, the earlier as the reference."""
-    pairs = _pairs(spark, sf_dir).filter(F.size("w") > 0)
-    return pairs.select("conv_id", "turn", evaluate.word_distance(F.col("w"), F.col("v")).cast("long").alias("distance"), F.round(evaluate.error_rate(F.col("w"), F.col("v")), 9).alias("wer"))
+    pairs = _pairs(spark, sf_dir).filter(F.size("w") > 0).withColumn("distance", evaluate.word_distance(F.col("w"), F.col("v")).cast("long"))
+    return pairs.select("conv_id", "turn", "distance", F.round(evaluate.error_rate(F.col("w"), F.col("v"), F.col("distance")), 9).alias("wer"))
 
 
 @query()
