@@ -15,10 +15,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names made of ``names`` that ``df`` doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    tail = "_"
+    while any(c.startswith(f"{n}{tail}".lower()) for n in names for c in taken):
+        tail += "_"
+    return [n + tail for n in names]
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or our own where none is set."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or our own where none is set on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = getattr(shared_dir, "own", None)
         if found is None:
             found = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="voxgrain-")
