@@ -48,7 +48,7 @@ def changed(rnd, words, n):
     return w
 
 
-@pytest.mark.parametrize("sizes", [{}, {"most": 1, "wide": 2}])
+@pytest.mark.parametrize("sizes", [{}, {"most": 1, "wide": 2, "block": 3}])
 def test_against_brute_force(spark, sizes):
     """Chains and groups around the threshold; with tiny lists every frequent token is dealt to several."""
     rnd = random.Random(11 + len(sizes))

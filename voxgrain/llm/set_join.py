@@ -14,8 +14,11 @@ between different sets is missed, and no group of alike sets is ever listed pair
 5. Answers from similar sets. A set that links to a head takes part from now on through that head: 1 - Jaccard is a
    metric, so with x at distance d(x, h) of its head h and y at d(y, g) of g, d(x, y) >= d(h, g) - d(x, h) - d(y, g). Lists whose
    entries are in one component are done. Elsewhere the heads (a set without a head is its own) of entries of different components
-   are compared once: a link joins the components; a distance beyond what the bound leaves open settles all pairs behind it; for
-   the few heads in between, the sets behind them are compared themselves.
+   are compared once, long lists block against block: a link joins the components; a distance beyond what the bound leaves open
+   settles all pairs behind it. Where it leaves some open, each set behind the head with fewer of them is compared with the
+   other head, and its intersections with the sets behind that one are derived from this answer: a set x stands there as what it
+   has and what it lacks of its head h, so |x & y| = |h & y| + |(x - h) & y| - |(h - x) & y|. The sets behind a head are kept in blocks by
+   distance from it, blocks are skipped by the bound, and the first link of a set in a block ends the search there.
 6. Components of the links by propagation of the least label, with pointer jumping, as joins of staged tables.
 
 Only links that can join two components are computed; those implied inside a component are not counted.
@@ -44,6 +47,10 @@ K, PERCENT = 5, 80
 BUCKETS, LIST = 1 << 20, 4096
 #: In lists of more entries than this none is dropped before heads are compared.
 WIDE = 64
+#: Roots of a list, or sets behind a root, that are compared as one block.
+BLOCK = 256
+#: The distance from a root, 0 to 1, in so many rings; a ring is dealt to blocks by hash.
+RINGS = 50
 #: Bits of the filter that tells which documents' sets a later step needs, at most (16 MB).
 FILTER_BITS = 1 << 27
 BLOCK_ROWS = 1 << 17
@@ -273,17 +280,18 @@ def components(links: DataFrame, stage: Stage, name: str) -> DataFrame:
 
 
 def _cross(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Streams lists of (token, comp, root, low, high, pos, far), sorted by token and low: pairs of roots of different components.
+    """Streams lists of (token, i, j, side, comp, root, low, high, pos, far), sorted by token, i, j and low: pairs of roots of different components.
 
     low and high bound the sizes of the sets behind a root, pos is their least position, far their largest distance from it.
+    A list with i < j holds two blocks of a longer one, told apart by side; only pairs across them count.
     """
     rest = None
     for b in batches:
         b = b if rest is None else pd.concat([rest, b], ignore_index=True)
         if not len(b):
             continue
-        token = b["token"].to_numpy()
-        others = np.flatnonzero(token != token[-1])
+        token, i, j = (b[c].to_numpy() for c in ("token", "i", "j"))
+        others = np.flatnonzero((token != token[-1]) | (i != i[-1]) | (j != j[-1]))
         cut = others[-1] + 1 if len(others) else 0
         rest = b.iloc[cut:]
         if cut:
@@ -293,15 +301,20 @@ def _cross(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _meetings(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    token, comp, root, far = (b[c].to_numpy() for c in ("token", "comp", "root", "far"))
+    token, first, second, side, comp, root, far = (b[c].to_numpy() for c in ("token", "i", "j", "side", "comp", "root", "far"))
     low, high, pos = (b[c].to_numpy().astype(np.int64) for c in ("low", "high", "pos"))
-    starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+    new = (token[1:] != token[:-1]) | (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+    starts = np.flatnonzero(np.append(True, new))
     several = np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)
     ends = np.append(starts[1:], len(token))
     out, size = [], 0
     for start, end in zip(starts[several].tolist(), ends[several].tolist()):
+        halves = first[start] != second[start]
         for j in range(start + 1, end):
-            i = start + np.flatnonzero((comp[start:j] != comp[j]) & (100 * high[start:j] >= PERCENT * low[j]))
+            meet = (comp[start:j] != comp[j]) & (100 * high[start:j] >= PERCENT * low[j])
+            if halves:
+                meet &= side[start:j] != side[j]
+            i = start + np.flatnonzero(meet)
             i = i[np.minimum(high[i] - pos[i], high[j] - pos[j]) * (100 + PERCENT) >= PERCENT * (low[i] + low[j])]
             if len(i):
                 out.append((np.minimum(root[i], root[j]), np.maximum(root[i], root[j]), far[i] + far[j]))
@@ -313,6 +326,14 @@ def _meetings(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
         yield _pairs(out)
 
 
+def _in_blocks(short: DataFrame, block: int) -> DataFrame:
+    """``short`` (token, root and others) with i, j, side: a list of more than ``block`` roots is dealt to a list for each two of its blocks."""
+    long = short.groupBy(F.col("token").alias("of")).agg(F.count("*").alias("n")).filter(F.col("n") > block)
+    dealt = short.join(long, F.col("token") == F.col("of"), "left").withColumn("blocks", F.ceil(F.coalesce("n", F.lit(1)) / block).cast("int"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("root"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select(*short.columns, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("side"))
+
+
 def _pairs(out: list) -> pd.DataFrame:
     a, b, far = (np.concatenate(x) for x in zip(*out))
     return pd.DataFrame({"a": a, "b": b, "far": far}).groupby(["a", "b"], as_index=False)["far"].max()
@@ -330,13 +351,13 @@ def _stars(rows: DataFrame, stage: Stage) -> DataFrame:
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The ``pairs`` (a, b) whose sets are in different components by ``labels`` (node, label)."""
+    """The ``pairs`` (a, b and others) whose sets are in different components by ``labels`` (node, label)."""
     for c in ("a", "b"):
         pairs = pairs.join(labels.select(F.col("node").alias(f"n{c}"), F.col("label").alias(f"l{c}")), F.col(c) == F.col(f"n{c}"), "left")
-    return pairs.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+    return pairs.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).drop("na", "nb", "la", "lb")
 
 
-def classes(docs: DataFrame, stage: Stage, most: int = LIST, wide: int = WIDE) -> tuple[DataFrame, DataFrame]:
+def classes(docs: DataFrame, stage: Stage, most: int = LIST, wide: int = WIDE, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(doc_id, fp, n) of every row of ``docs`` and (node, label) of every class that links with another."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     described = stage.put(texts.mapInPandas(_describe, SETS), "classes")
@@ -352,7 +373,7 @@ def classes(docs: DataFrame, stage: Stage, most: int = LIST, wide: int = WIDE) -
     one = stage.put(_compare(stars.filter(F.col("turn") == 1).select("a", "b"), sets).filter(_linked()), "links-1")
     labels = components(one, stage, "components-0")
     # The last sets of the places are compared only with those that the first ones have left apart.
-    more = stage.put(_compare(_apart(stars.filter(F.col("turn") == 2), labels), sets).filter(_linked()), "links-2")
+    more = stage.put(_compare(_apart(stars.filter(F.col("turn") == 2).select("a", "b"), labels), sets).filter(_linked()), "links-2")
     one = one.unionByName(more)
     labels = components(one, stage, "components-1")
     # The head through which a set takes part from here on: the one that it is most like.
@@ -364,31 +385,90 @@ def classes(docs: DataFrame, stage: Stage, most: int = LIST, wide: int = WIDE) -
         "token", "fp", "n", "pos", F.coalesce("label", "fp").alias("comp"), F.coalesce("root", "fp").alias("root"), F.coalesce("far", F.lit(0.0)).alias("far")
     )
     short = joined.groupBy("token", "comp", "root").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("pos").alias("pos"), F.max("far").alias("far"))
-    met = short.repartition("token").sortWithinPartitions("token", "low", "root").mapInPandas(_cross, "a long, b long, far double")
+    met = _in_blocks(stage.put(short, "short"), block).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "low", "root")
+    met = met.mapInPandas(_cross, "a long, b long, far double")
     met = stage.put(met.groupBy("a", "b").agg(F.max("far").alias("far")), "met")
     two = stage.put(_compare(met, sets), "compared")
-    apart = 1 - F.col("shared") / F.col("united")
-    behind = two.filter(~_linked() & (F.col("far") > 0) & (apart <= 1 - PERCENT / 100 + F.col("far") + 1e-9)).select("a", "b")
-    behind = stage.put(behind, "between")
     links = one.select("a", "b").unionByName(two.filter(_linked()).select("a", "b"))
     labels = components(links, stage, "components-2")
+    behind = two.filter(~_linked() & (F.col("far") > 0)).select("a", "b", (1 - F.col("shared") / F.col("united")).alias("apart"), "far")
+    behind = stage.put(_apart(behind.filter(F.col("apart") <= _REACH + F.col("far")), labels), "between")
     if behind.isEmpty():
         return rows, labels
-    x = joined.select("token", F.col("root").alias("a"), F.col("fp").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"))
-    y = joined.select(F.col("token").alias("ty"), F.col("root").alias("b"), F.col("fp").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"))
-    fits = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) * (100 + PERCENT) >= PERCENT * (F.col("nx") + F.col("ny"))
-    pairs = behind.join(x, "a").join(y, "b").filter((F.col("token") == F.col("ty")) & fits).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    pairs = _apart(pairs, labels)
-    three = stage.put(_compare(pairs, sets).filter(_linked()), "links-3")
-    if three.isEmpty():
+    more = _behind(behind, role, sets, stage, block)
+    if more.isEmpty():
         return rows, labels
-    return rows, components(links.unionByName(three.select("a", "b")), stage, "components-3")
+    return rows, components(links.unionByName(more), stage, "components-3")
 
 
-def link_components(docs: DataFrame, most: int = LIST, wide: int = WIDE) -> DataFrame:
+def _behind(pairs: DataFrame, role: DataFrame, sets: DataFrame, stage: Stage, block: int) -> DataFrame:
+    """a, b: links between sets behind the two roots of ``pairs`` (a, b, apart), no more than one for each set and block of the other root."""
+    members = role.filter(F.col("node") != F.col("root")).select("root", "node", F.col("far").alias("off"))
+    families = stage.put(members.groupBy(F.col("root").alias("of")).agg(F.count("*").alias("size"), F.max("off").alias("most")), "families")
+    for c in ("a", "b"):
+        pairs = pairs.join(families.select(F.col("of").alias(f"of_{c}"), F.col("size").alias(f"size_{c}"), F.col("most").alias(f"most_{c}")), F.col(c) == F.col(f"of_{c}"), "left")
+    # h is the root with more sets behind it, g the other one.
+    swap = F.coalesce("size_a", F.lit(0)) < F.coalesce("size_b", F.lit(0))
+    pick = lambda x, y, name: F.when(swap, F.col(y)).otherwise(F.col(x)).alias(name)
+    pairs = pairs.select(pick("a", "b", "h"), pick("b", "a", "g"), pick("most_a", "most_b", "most"), "apart")
+    pairs = stage.put(pairs.filter(F.col("most").isNotNull()), "pairs")
+    # A set y behind g, or g itself, whose bound leaves h or the sets behind it open.
+    ys = members.select("root", F.col("node").alias("y"), "off")
+    asked = pairs.select("h", F.col("g").alias("y"), "most").unionByName(
+        pairs.join(ys, F.col("g") == F.col("root")).filter(F.col("apart") <= _REACH + F.col("most") + F.col("off")).select("h", "y", "most")
+    )
+    asked = stage.put(_compare(asked.distinct().select(F.col("y").alias("a"), F.col("h").alias("b"), "most"), sets), "asked")
+    direct = asked.filter(_linked()).select("a", "b")
+    asked = asked.filter(~_linked()).select("a", "b", "shared", (1 - F.col("shared") / F.col("united")).alias("apart"), "most").filter(F.col("apart") <= _REACH + F.col("most"))
+    # What is behind h, in blocks by distance: a set as what it has and lacks of h.
+    family = members.join(asked.select(F.col("b").alias("asked")).distinct(), F.col("root") == F.col("asked"), "left_semi").withColumn("ring", F.floor(F.col("off") * RINGS).cast("int"))
+    rings = family.groupBy(F.col("root").alias("of"), F.col("ring").alias("at")).agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    family = family.join(rings, (F.col("root") == F.col("of")) & (F.col("ring") == F.col("at")))
+    family = family.select("root", "node", "off", (F.col("ring") * F.lit(1 << 40) + F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block"))
+    family = stage.put(family, "family")
+    blocks = family.groupBy(F.col("root").alias("of"), "block").agg(F.max("off").alias("reach"))
+    own, head = sets.select(F.col("fp").alias("fx"), F.col("s").alias("sx")), sets.select(F.col("fp").alias("fh"), F.col("s").alias("sh"))
+    family = family.join(own, F.col("node") == F.col("fx")).join(head, F.col("root") == F.col("fh"))
+    family = family.select("root", "block", "node", "off", F.size("sx").alias("n"), F.array_except("sx", "sh").alias("has"), F.array_except("sh", "sx").alias("lacks"))
+    tries = asked.join(blocks, F.col("b") == F.col("of")).filter(F.col("apart") <= _REACH + F.col("reach"))
+    # Many sets that ask one block are dealt to several tasks, each of which has the block.
+    tries = stage.put(tries.select(F.col("b").alias("root"), "block", F.col("a").alias("y"), "shared", "apart"), "tries")
+    deals = tries.groupBy("root", "block").agg(F.ceil(F.count("*") / (4 * block)).cast("int").alias("deals"))
+    tries = tries.join(deals, ["root", "block"]).withColumn("deal", F.pmod(F.xxhash64("y"), F.col("deals")).cast("int")).join(sets.withColumnRenamed("s", "sy"), F.col("y") == F.col("fp"))
+    family = family.join(deals, ["root", "block"]).withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)))
+    keys = ["root", "block", "deal"]
+    found = tries.select(*keys, "y", "shared", "apart", "sy").groupBy(*keys).cogroup(family.select(*keys, "node", "off", "n", "has", "lacks").groupBy(*keys))
+    return stage.put(found.applyInPandas(_derive, "a long, b long").unionByName(direct), "links-3")
+
+
+#: How far apart linked sets are at most, with a margin for rounding.
+_REACH = 1 - PERCENT / 100 + 1e-9
+
+
+def _derive(tries: pd.DataFrame, family: pd.DataFrame) -> pd.DataFrame:
+    """Each set that asks (y, its set sy, what it shares with the root, its distance) with the first set of a block that it links to, if any."""
+    parts = [np.concatenate([np.asarray(x, np.int64) for x in family[c]]) if len(family) else np.empty(0, np.int64) for c in ("has", "lacks")]
+    ends = [np.cumsum([0, *map(len, family[c])]) for c in ("has", "lacks")]
+    node, off, n = family["node"].to_numpy(), family["off"].to_numpy(), family["n"].to_numpy().astype(np.int64)
+    out = []
+    for y, shared, apart, sy in zip(tries["y"], tries["shared"], tries["apart"], tries["sy"]):
+        s = np.sort(np.asarray(sy, np.int64))
+        changes = []
+        for part, end in zip(parts, ends):
+            held = s[np.minimum(np.searchsorted(s, part), len(s) - 1)] == part
+            sums = np.concatenate([[0], np.cumsum(held)])
+            changes.append(sums[end[1:]] - sums[end[:-1]])
+        both = shared + changes[0] - changes[1]
+        linked = np.flatnonzero((apart <= _REACH + off) & (100 * both >= PERCENT * (len(s) + n - both)))
+        if len(linked):
+            out.append((y, node[linked[0]]))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def link_components(docs: DataFrame, most: int = LIST, wide: int = WIDE, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs`` (doc_id, text)."""
     stage = Stage(docs.sparkSession, "sets")
-    rows, labels = classes(docs, stage, most, wide)
+    rows, labels = classes(docs, stage, most, wide, block)
     least = rows.filter(F.col("n") > 0).groupBy("fp").agg(F.min("doc_id").alias("doc"))
     labelled = stage.put(least.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "doc", F.coalesce("label", "fp").alias("label")), "labelled")
     least = stage.put(labelled.groupBy("label").agg(F.min("doc").alias("component")).withColumnRenamed("label", "of"), "least")
