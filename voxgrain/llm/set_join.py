@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 from pyspark.sql.window import Window
 
-from .common import Stage, table
+from .common import Stage, fresh, table
 from .shingles import mix, shingle_set, words_of
 
 K, PERCENT = 5, 80
@@ -512,23 +512,25 @@ def _class_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for each component: of its smallest doc_id, null after all others; then of the least class hash and text.
 
-    Rows with an empty set all stay, but for those that repeat a doc_id and its text.
+    Rows with an empty set, null and empty texts among them, all stay, but for those that repeat a doc_id and its text. Other columns pass
+    through, whatever their names; an empty table stays empty.
     """
     stage = Stage(docs.sparkSession, "kept")
+    id_, lost, class_, at = fresh(docs, "id", "lost", "class", "at")
     rows, labels = classes(docs, stage)
     found = rows.filter(F.col("n") > 0).join(labels, F.col("fp") == F.col("node"), "left")
     found = stage.put(found.select("doc_id", "fp", F.coalesce("label", "fp").alias("label")), "components")
     first = found.groupBy(F.col("label").alias("of")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "fp")).alias("first"))
     other = ~F.col("doc_id").eqNullSafe(F.col("first.doc_id")) | (F.col("fp") != F.col("first.fp"))
-    gone = stage.put(found.join(first, F.col("label") == F.col("of")).filter(other).select(F.col("doc_id").alias("__id"), F.col("fp").alias("__gone")), "gone")
+    gone = stage.put(found.join(first, F.col("label") == F.col("of")).filter(other).select(F.col("doc_id").alias(id_), F.col("fp").alias(lost)), "gone")
     # A doc_id that one row has names that row; rows that share one or have none are told apart by their class.
-    again = stage.put(rows.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__id")).count().filter(F.col("count") > 1).select("__id"), "again")
+    again = stage.put(rows.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias(id_)).count().filter(F.col("count") > 1).select(id_), "again")
     named = docs.filter(F.col("doc_id").isNotNull())
-    left = named.join(gone.select("__id").unionByName(again), F.col("doc_id") == F.col("__id"), "left_anti")
+    left = named.join(gone.select(id_).unionByName(again), F.col("doc_id") == F.col(id_), "left_anti")
     if again.isEmpty() and rows.filter(F.col("doc_id").isNull()).isEmpty():
         return left
-    shared = named.join(again, F.col("doc_id") == F.col("__id"), "left_semi").unionByName(docs.filter(F.col("doc_id").isNull()))
-    shared = shared.withColumn("__class", _class_of(F.col("text")))
-    shared = shared.join(gone.distinct(), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__class") == F.col("__gone")), "left_anti")
-    one = Window.partitionBy("doc_id", "__class", F.when(F.col("__class") == 0, F.col("text"))).orderBy("text")
-    return left.unionByName(shared.withColumn("__at", F.row_number().over(one)).filter(F.col("__at") == 1).drop("__class", "__at"))
+    shared = named.join(again, F.col("doc_id") == F.col(id_), "left_semi").unionByName(docs.filter(F.col("doc_id").isNull()))
+    shared = shared.withColumn(class_, _class_of(F.col("text")))
+    shared = shared.join(gone.distinct(), F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(class_) == F.col(lost)), "left_anti")
+    one = Window.partitionBy("doc_id", class_, F.when(F.col(class_) == 0, F.col("text"))).orderBy("text")
+    return left.unionByName(shared.withColumn(at, F.row_number().over(one)).filter(F.col(at) == 1).drop(class_, at))
