@@ -67,3 +67,48 @@ def test_leaks(spark, block):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 5, 6, 7]
     assert keep_clean(docs, bench.limit(0)).count() == docs.count() and keep_clean(docs.limit(0), bench).collect() == []
     assert MIN_MATCH == 5
+
+
+def test_operator_against_brute_force(spark):
+    """Coverage of the item covered most, and the number of items covered to the share that contaminates, tiling every pair."""
+    from voxgrain.llm.decontaminate import Benchmark
+
+    rnd = random.Random(4)
+    items = [(i, [f"w{rnd.randrange(400)}" for _ in range(rnd.choice([3, 5, 12, 40]))]) for i in range(30)]
+    items += [(50 + i, items[5][1][:8] + [f"v{i}{k}" for k in range(20)]) for i in range(20)]
+    texts = []
+    for _ in range(120):
+        words = [f"w{rnd.randrange(400)}" for _ in range(rnd.randrange(30))]
+        for _, item in rnd.sample(items, rnd.randrange(3)):
+            cut, n = rnd.randrange(len(item)), rnd.randint(4, len(item) + 4)
+            words += (item[cut:] + item[:cut])[:n]
+        texts.append(words)
+    want = []
+    for words in texts:
+        covered = [(-sum(k for *_, k in tile(np.array([hash(w) % 2**63 for w in item], np.uint64), np.array([hash(w) % 2**63 for w in words], np.uint64))) / len(item), i) for i, item in items]
+        best = min(covered)
+        want.append((best[1] if best[0] else None, -best[0], sum(-c >= COVERAGE for c, _ in covered)))
+    block = Benchmark([(i, " ".join(w)) for i, w in items])
+    assert [block.judge(" ".join(words)) for words in texts] == want
+    docs = spark.createDataFrame([(i, " ".join(w), "a", "b") for i, w in enumerate(texts)], DOCS).repartition(3)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    for size in (2_000_000, 60):
+        got = {r["doc_id"]: tuple(r["found"]) for r in contamination(docs, bench, block_words=size, into="found").collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
+def test_cost_of_long_and_many_items():
+    import time
+
+    from voxgrain.llm.decontaminate import Benchmark
+
+    words = [f"w{i}" for i in range(8000)]
+    began = time.perf_counter()
+    assert Benchmark([(1, " ".join(words))]).judge(" ".join(words[5000:] + words[:5000]))[1] == 1.0
+    assert time.perf_counter() - began < 1
+    many = Benchmark([(i, "which of the following is true of " + " ".join(f"v{i}x{k}" for k in range(30))) for i in range(5000)])
+    began = time.perf_counter()
+    assert many.judge("we ask which of the following is true of " + " ".join(words[:30]))[2] == 0
+    assert time.perf_counter() - began < 0.5
+    same = np.ones(3000, np.uint64)
+    assert sum(k for *_, k in tile(same, np.ones(9000, np.uint64))) == 3000

@@ -3,11 +3,13 @@
 Benchmark items and documents are sequences of words (lower case, ASCII punctuation removed). A document meets an item
 only through a seed, a run of ``MIN_MATCH`` words that both hold; a document without seeds costs one lookup of its rolling
 hashes. For each pair that shares seeds, tiling marks the longest match of unmarked words first, then the next,
-down to ``MIN_MATCH`` words; tiles never overlap. The share of the item's words under tiles is its coverage, which
-no reordering of passages lowers. Documents that cover an item to ``COVERAGE`` or more are contaminated.
+down to ``MIN_MATCH`` words; tiles never overlap. The search length is found by halving: windows of Karp-Rabin hashes match at
+every length up to the longest match. The share of the item's words under tiles is its coverage, which
+no reordering of passages lowers. Documents that cover an item to ``COVERAGE`` or more are contaminated. An item whose words
+under shared seeds are too few to reach that share, or to be covered most, is not tiled.
 
-Benchmarks are sent to the executors in blocks of at most ``BLOCK_WORDS`` words; a larger benchmark takes one pass over
-the documents for each block.
+Benchmarks are sent to the executors in blocks of about ``BLOCK_WORDS`` words; a larger benchmark takes one pass over
+the documents for each block, one after the other, and what the passes find is joined by a hash of the text.
 
 Defined results: null or empty text is clean; an item with fewer than ``MIN_MATCH`` words, or null text, is evidence against
 no document; an empty benchmark leaves all clean. Among equally covered items the first by id is named. Repeated rows are
@@ -19,13 +21,14 @@ from __future__ import annotations
 import string
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Stage, fresh, table
 from .shingles import grams, word_hashes
 
 MIN_MATCH, COVERAGE, BLOCK_WORDS = 5, 0.5, 2_000_000
@@ -69,22 +72,37 @@ def tile(item: np.ndarray, doc: np.ndarray, least: int = MIN_MATCH) -> list[tupl
         return []
     rolling_i, rolling_d = _Rolling(item), _Rolling(doc)
     marked_i, marked_d = np.zeros(len(item), bool), np.zeros(len(doc), bool)
-    tiles, length = [], min(len(item), len(doc))
-    while length >= least:
+
+    def shared(length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and hashes of the unmarked windows of either side that the other side has, too."""
         at_i, at_d = _free(marked_i, length), _free(marked_d, length)
+        of_i, of_d = rolling_i.windows(length)[at_i], rolling_d.windows(length)[at_d]
+        in_d, in_i = np.isin(of_i, of_d), np.isin(of_d, of_i)
+        return at_i[in_d], of_i[in_d], at_d[in_i], of_d[in_i]
+
+    tiles, most = [], min(len(item), len(doc))
+    while most >= least:
+        # The search length runs to the longest match there is: where windows of one length match, shorter ones do.
+        low, high = least - 1, most
+        while low < high:
+            middle = least if low < least else (low + high + 1) // 2
+            low, high = (middle, high) if len(shared(middle)[0]) else (low, middle - 1)
+        if low < least:
+            break
+        at_i, of_i, at_d, of_d = shared(low)
         where = defaultdict(list)
-        for i, h in zip(at_i.tolist(), rolling_i.windows(length)[at_i].tolist()):
+        for i, h in zip(at_i[::-1].tolist(), of_i[::-1].tolist()):
             where[h].append(i)
-        hashes = rolling_d.windows(length)[at_d]
-        hits = np.flatnonzero(np.isin(hashes, np.fromiter(where, np.uint64, len(where)))) if where else ()
-        for k in hits:
-            d = int(at_d[k])
-            for i in where[int(hashes[k])]:
-                if not marked_i[i : i + length].any() and not marked_d[d : d + length].any() and (item[i : i + length] == doc[d : d + length]).all():
-                    tiles.append((i, d, length))
-                    marked_i[i : i + length] = marked_d[d : d + length] = True
-                    break
-        length -= 1
+        done = 0  # words of the document before this one are marked or passed
+        for d, h in zip(at_d.tolist(), of_d.tolist()):
+            starts = where[h]
+            while starts and marked_i[starts[-1] : starts[-1] + low].any():
+                starts.pop()  # marks only grow
+            if d >= done and starts and (item[starts[-1] : starts[-1] + low] == doc[d : d + low]).all():
+                i, done = starts.pop(), d + low
+                tiles.append((i, d, low))
+                marked_i[i : i + low] = marked_d[d : d + low] = True
+        most = low - 1
     return tiles
 
 
@@ -96,8 +114,21 @@ class Benchmark:
         pairs = [(grams(w, MIN_MATCH), k) for k, (_, w) in enumerate(self.items)]
         seeds = np.concatenate([g for g, _ in pairs]) if pairs else np.empty(0, np.uint64)
         owner = np.concatenate([np.full(len(g), k) for g, k in pairs]) if pairs else np.empty(0, int)
+        place = np.concatenate([np.arange(len(g)) for g, _ in pairs]) if pairs else np.empty(0, int)
         order = np.argsort(seeds, kind="stable")
-        self.seeds, self.owner = seeds[order], owner[order]
+        self.seeds, self.owner, self.place = seeds[order], owner[order], place[order]
+        self.lengths = np.array([len(w) for _, w in self.items], int)
+
+    def _bounds(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The items of these runs of seeds, and the share of each item's words that lie under them: no coverage is larger."""
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(high - low)[:-1]]), high - low) + np.arange((high - low).sum())
+        order = np.lexsort((self.place[at], self.owner[at]))
+        owner, place = self.owner[at][order], self.place[at][order]
+        same = owner[1:] == owner[:-1]
+        words = np.full(len(owner), MIN_MATCH)
+        words[:-1][same] = np.minimum(MIN_MATCH, np.diff(place)[same])
+        items, starts = np.unique(owner, return_index=True)
+        return items, np.add.reduceat(words, starts) / self.lengths[items]
 
     def judge(self, text: str | None) -> tuple[int | None, float, int]:
         """The item covered most, its coverage, and the number of items covered to ``COVERAGE``."""
@@ -111,7 +142,7 @@ class Benchmark:
             return None, 0.0, 0
         shared = np.unique(found[hit])
         low, high = np.searchsorted(self.seeds, shared, "left"), np.searchsorted(self.seeds, shared, "right")
-        items = np.unique(np.concatenate([self.owner[a:b] for a, b in zip(low, high)]))
+        items, bounds = self._bounds(low, high)
         # Only words under some seed can be matched; others, in one stretch, count as one word that matches nothing.
         under = np.zeros(len(words), bool)
         for k in range(MIN_MATCH):
@@ -119,24 +150,30 @@ class Benchmark:
         cut = ~under
         keep = under | (cut & ~np.concatenate([[False], cut[:-1]]))
         short = np.where(cut, np.uint64(0), words)[keep]
-        best, n = (None, 0.0), 0
-        for k in items:
-            item_id, item = self.items[k]
+        best, covers, n = -1, 0.0, 0
+        for at in np.lexsort((items, -bounds)):  # the largest bound first, of equal ones the first item
+            k, bound = int(items[at]), bounds[at]
+            if bound < COVERAGE and (bound < covers or bound == covers and k > best):
+                continue
+            item = self.items[k][1]
             covered = sum(x for *_, x in tile(item, short)) / len(item)
             n += covered >= COVERAGE
-            if covered > best[1]:
-                best = (item_id, covered)
-        return *best, n
+            if covered > covers or covered == covers and covered > 0 and k < best:
+                best, covers = k, covered
+        return self.items[best][0] if best >= 0 else None, covers, n
 
 
-def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int, str]]]:
-    """The items, in blocks of about ``block_words`` words at most."""
+def _blocks(benchmark: DataFrame, block_words: int) -> tuple[int, Iterator[list[tuple[int, str]]]]:
+    """The number of blocks of about ``block_words`` words, and the items of each; one is collected when it is asked for."""
     items = benchmark.filter(F.col("text").isNotNull()).select("item_id", "text")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-chars // (4 * block_words))
-    for b in range(n):
+
+    def block(b: int) -> list[tuple[int, str]]:
         part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
-        yield sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda x: (x[0] is None, x[0], x[1]))
+        return sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda x: (x[0] is None, x[0], x[1]))
+
+    return n, map(block, range(n))
 
 
 def _judge(sent):
@@ -152,16 +189,25 @@ def _judge(sent):
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", block_words: int = BLOCK_WORDS, into: str = "leak") -> DataFrame:
     """``docs`` with a struct column ``into``, in place of any of that name: item_id (the most covered), coverage, n_items (covered to COVERAGE)."""
-    context = docs.sparkSession.sparkContext
-    columns = [_judge(context.broadcast(items))(F.col(f"`{text}`")) for items in _blocks(benchmark, block_words)]
-    if not columns:
-        return docs.withColumn(into, F.expr("named_struct('item_id', cast(null as long), 'coverage', 0D, 'n_items', 0)"))
-    if len(columns) == 1:
-        return docs.withColumn(into, columns[0])
-    each = F.array(*columns)
-    most = F.aggregate(each, each[0], lambda a, b: F.when(b["coverage"] > a["coverage"], b).otherwise(a))
-    n = F.aggregate(each, F.lit(0), lambda a, b: a + b["n_items"])
-    return docs.withColumn(into, F.struct(most["item_id"].alias("item_id"), most["coverage"].alias("coverage"), n.alias("n_items")))
+    context, source = docs.sparkSession.sparkContext, F.col(f"`{text}`")
+    n, blocks = _blocks(benchmark, block_words)
+    none = F.expr("named_struct('item_id', cast(null as long), 'coverage', 0D, 'n_items', 0)")
+    if n <= 1:
+        return docs.withColumn(into, _judge(context.broadcast(next(blocks)))(source) if n else none)
+    # A judgement depends on the text only. Each pass keeps those of the few texts that meet an item of its block.
+    stage, passes = Stage(docs.sparkSession, "leaks"), []
+    for k, items in enumerate(blocks):
+        sent = context.broadcast(items)
+        judged = docs.select(F.xxhash64(source, F.length(source)).alias("key"), _judge(sent)(source).alias("j")).filter(F.col("j.coverage") > 0)
+        passes.append(stage.put(judged.select("key", "j.*").distinct(), f"block-{k}"))
+        sent.destroy()
+    found = reduce(DataFrame.unionByName, passes)
+    order = F.struct((-F.col("coverage")).alias("less"), F.col("item_id").isNull().alias("nameless"), "item_id", "coverage")
+    found = found.groupBy("key").agg(F.min(order).alias("best"), F.sum("n_items").cast("int").alias("n_items"))
+    key, other, leak = fresh(docs, "key", "other", "leak")
+    found = found.select(F.col("key").alias(other), F.struct("best.item_id", "best.coverage", "n_items").alias(leak))
+    joined = docs.withColumn(key, F.xxhash64(source, F.length(source))).join(found, F.col(key) == F.col(other), "left").withColumn(leak, F.coalesce(leak, none))
+    return joined.select(*[f"`{c}`" for c in docs.columns if c.lower() != into.lower()], F.col(leak).alias(into))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,5 +216,9 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that cover no benchmark item."""
-    return contamination(docs, benchmark, into="__leak").filter(F.col("__leak.n_items") == 0).drop("__leak")
+    """The rows of ``docs`` that cover no benchmark item.
+
+    Null and empty texts stay; all stay where the benchmark is empty; repeated rows are judged alike; other columns pass through.
+    """
+    into = fresh(docs, "leak")[0]
+    return contamination(docs, benchmark, into=into).filter(F.col(f"{into}.n_items") == 0).drop(into)
