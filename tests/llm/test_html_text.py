@@ -30,6 +30,33 @@ def test_odd_pages(spark):
     assert extract(spark.createDataFrame([], "page_id long, html string")).collect() == []
 
 
+LONG = "A long sentence of the article that goes on for a while, as sentences of articles do."
+
+
+def test_nothing_of_an_article_is_lost():
+    """Names that only contain a mark's word, unclosed elements, and short parts between long ones."""
+    assert main_text(f"<body class='post right-sidebar'><article><p>{LONG}</p></article></body>") == LONG
+    assert main_text(f"<article id='search-engine-history'><p>{LONG}</article>") == LONG
+    assert main_text(f"<article><p>{LONG}</p><section id='related-work'><p>{LONG}</p></section></article>") == f"{LONG}\n{LONG}"
+    assert main_text(f"<article><p class='ad'>Buy<p>{LONG}<p>{LONG}</article>") == f"{LONG}\n{LONG}"
+    assert main_text(f"<article><ul><li>{LONG}<li class=promo>x<li>Third</ul></article>") == f"{LONG}\nThird"
+    parts = [LONG * 4, *(f"Part {i}." for i in range(8)), LONG]
+    page = f"<article><p>{parts[0]}</p>" + "".join(f"<section><p>{p}</p></section>" for p in parts[1:-1]) + f"<p>{parts[-1]}</p></article>"
+    assert main_text(page) == "\n".join(parts)
+    assert main_text(f"<article><i><div>{LONG}</i> more</div><table><tr><td>a<td>b<tr><td>c</table></article>") == f"{LONG} more\na\nb\nc"
+    for name in ("ad", "site-footer", "cookie-notice left", "comment-17", "related-posts", "newsletter_signup box"):
+        assert main_text(f"<article><p>{LONG}</p><div class='{name}'>{LONG}</div></article>") == LONG, name
+
+
+def test_broken_pages_cost_no_more_than_their_size():
+    import time
+
+    began = time.perf_counter()
+    assert main_text("<div>" * 15_000 + LONG + "</i>" * 15_000) == LONG
+    assert main_text(f"<article><p>{LONG}" + "<b><p>x" * 5000 + "</article>").startswith(LONG)
+    assert time.perf_counter() - began < 5
+
+
 def test_smoothing_keeps_the_level():
     import numpy as np
 

@@ -9,13 +9,14 @@ content, and where the page has an article or main element, only what is inside
 
 Defined results: null or empty html gives an empty text; a page without text outside the excluded parts gives an
 empty text; a page in which no line stands out keeps the region with the best line. Broken markup is read as
-browsers do: unclosed elements end with their parent, stray end tags are ignored. Repeated rows give repeated
+browsers do: a paragraph, list item or table cell ends where the next begins, other unclosed elements end with their parent, stray end tags are ignored. Repeated rows give repeated
 results; whole pages are read, however long. Other columns pass through.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -36,12 +37,34 @@ INLINE = frozenset(
 EXCLUDED = frozenset(
     "head title script style noscript template nav header footer aside form button select option textarea input iframe object embed svg canvas audio video dialog menu".split()
 )
-#: Words of a class, an id or a role that mark an element whose text is never content.
+#: What a start tag ends if it is open and nothing of the second set lies in between; block elements end a paragraph.
+IMPLIED = {
+    "li": ({"li"}, {"ul", "ol", "menu"}),
+    "dt": ({"dt", "dd"}, {"dl"}),
+    "dd": ({"dt", "dd"}, {"dl"}),
+    "tr": ({"tr"}, {"table"}),
+    "td": ({"td", "th"}, {"tr", "table"}),
+    "th": ({"td", "th"}, {"tr", "table"}),
+    "tbody": ({"thead", "tbody", "tr"}, {"table"}),
+    "tfoot": ({"thead", "tbody", "tr"}, {"table"}),
+    "option": ({"option"}, {"select"}),
+}
+ENDS_P = frozenset(
+    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li dt dd main menu nav ol p pre search section summary table ul".split()
+)
+P_SCOPE = frozenset("button caption html object table td template th".split())
+#: Words of a class, an id or a role that mark an element whose text is never content, if its whole name is made of them and of ``PLAIN`` words.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar navigation nav navbar menu "
     "breadcrumb breadcrumbs footer masthead topbar toolbar comment comments disqus reply replies respond cookie cookies consent gdpr notice notices "
     "alert newsletter subscribe subscription signup popup modal overlay share sharing social related recommended form search login pagination pager widget complementary contentinfo".split()
 )
+#: Words that say where such an element is or what it holds, but not that it is one.
+PLAIN = frozenset(
+    "left right top bottom upper lower side site page post posts article articles user reader readers global main primary secondary mobile desktop sticky fixed floating inline "
+    "wrapper wrap container box block blocks list item items section area bar bars column col row inner outer content body title text link links icon icons button buttons "
+    "slot unit group panel message count thread input field media tools bottom google the and of by for us our".split()
+)
 #: These count only outside the article, whose own parts may be called so.
 OUTER_MARKS = frozenset("header".split())
 CONTENT = frozenset(["article", "main"])
@@ -61,6 +84,7 @@ class _Lines(HTMLParser):
         self.stack: list[tuple[str, bool, bool, int]] = []  # tag, excluded, inside content, region
         self.lines: list[tuple[str, int, int, bool, bool]] = []
         self.buffer: list[str] = []
+        self.open: Counter[str] = Counter()  # tags of the stack
         self.tags = self.regions = 0
         self.out, self.inside, self.region = False, False, 0
 
@@ -78,6 +102,10 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag == "br":
             self.buffer.append(" ")
+        if tag in ENDS_P:
+            self._imply({"p"}, P_SCOPE)
+        if tag in IMPLIED:
+            self._imply(*IMPLIED[tag])
         if tag in VOID:
             if tag == "hr":
                 self.end_line()
@@ -91,16 +119,39 @@ class _Lines(HTMLParser):
             self.regions += 1
             region = self.regions
         self.stack.append((tag, out, self.inside or tag in CONTENT, region))
+        self.open[tag] += 1
+        self._state()
+
+    def _cut(self, at: int) -> None:
+        for tag, *_ in self.stack[at:]:
+            self.open[tag] -= 1
+        del self.stack[at:]
         self._state()
 
+    def _imply(self, ended: set[str], scope) -> None:
+        """Ends the outermost open element of ``ended`` within the scope."""
+        if not any(self.open[tag] for tag in ended):
+            return
+        found = -1
+        for i in range(len(self.stack) - 1, -1, -1):
+            if self.stack[i][0] in scope:
+                break
+            if self.stack[i][0] in ended:
+                found = i
+        if found >= 0:
+            self.end_line()
+            self._cut(found)
+
     def _marked(self, tag, attrs) -> bool:
         for name, value in attrs:
             if name in ("class", "id", "role"):
                 if tag in UNMARKED:
                     continue
-                words = set(map(str.lower, _MARK.findall(value or "")))
-                if words & MARKS or not self.inside and words & OUTER_MARKS:
-                    return True
+                marks = MARKS if self.inside else MARKS | OUTER_MARKS
+                for title in (value or "").split():
+                    words = set(map(str.lower, _MARK.findall(title)))
+                    if words & marks and words <= marks | PLAIN:
+                        return True
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value or ""):
                 return True
         return False
@@ -110,15 +161,17 @@ class _Lines(HTMLParser):
 
     def handle_endtag(self, tag):
         self.tags += 1
-        at = next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] == tag), -1)
+        at = len(self.stack) - 1 if self.open[tag] else -1
+        while at >= 0 and self.stack[at][0] != tag:
+            # The end of an inline element does not end the blocks within it.
+            at = -1 if tag in INLINE and self.stack[at][0] not in INLINE else at - 1
         if at < 0:
             if tag == "p":
                 self.end_line()
             return
-        if tag not in INLINE or self.stack[at][1] != self.out or any(x[0] not in INLINE for x in self.stack[at:]):
+        if tag not in INLINE or self.stack[at][1] != self.out:
             self.end_line()
-        del self.stack[at:]
-        self._state()
+        self._cut(at)
 
     def handle_data(self, data):
         self.buffer.append(data)
