@@ -1,6 +1,7 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from voxgrain.llm.metric_tree import quantised, top_k
@@ -31,6 +32,14 @@ def test_against_brute_force(spark):
     assert run(spark, rows, subtree=100, pivots=6, block=7) == brute(rows)
 
 
+def test_large_components_are_exact(spark):
+    """Scores far beyond the integers that doubles hold, some of which differ in their last digit only."""
+    rnd = random.Random(4)
+    rows = [(i, [float(rnd.choice([1, 1, 1e3, 3e6]) * rnd.randint(-9, 9)) + rnd.randrange(256) / 256 for _ in range(3)]) for i in range(300)] + [(400, [1e7, 0.0, 0.0]), (401, [1e7, 1 / 256, 0.0]), (402, [1e7, 2 / 256, 0.0])]
+    rows = [(i, [float(x) for x in __import__("numpy").float32(v)]) for i, v in rows]
+    assert run(spark, rows, subtree=40, pivots=4) == brute(rows)
+
+
 def test_copies_and_ties(spark):
     """One vector fills most of the table: many equal scores, many parts of one pivot."""
     rows = [(i, [1.0, 0.5, 0.25]) for i in range(700)] + [(700 + i, [i / 64, 1.0, -0.5]) for i in range(100)]
@@ -40,5 +49,6 @@ def test_copies_and_ties(spark):
 def test_odd_rows(spark):
     rows = [(0, [1.0, 2.0]), (1, None), (2, [None, 1.0]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (None, [1.0, 1.0]), (5, [3.0]), (6, []), (7, [1.0, 2.0, 3.0])]
     assert run(spark, rows) == brute(rows)
-    assert len(run(spark, [(0, [1e30]), (1, [-1e30]), (2, [1.0])])) == 2
+    with pytest.raises(Exception, match="too large for a long"):
+        run(spark, [(0, [1e30]), (1, [-1e30]), (2, [1.0])])
     assert run(spark, rows[:1]) == [] and run(spark, []) == [] and run(spark, [(1, [1.0])]) == []
