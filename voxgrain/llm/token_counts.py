@@ -12,16 +12,20 @@ written, since the stream names no document; the scan doesn't read these notes.
 
 Defined results: null or empty text has 0 tokens; documents without tokens stand as two separators side by side. Tokens after
 the last separator of a file are an unfinished document and count as one. An empty file has no documents. Rows that
-repeat a doc_id give a row each. Whole texts are encoded; strings that look like special tokens are ordinary text.
+repeat a doc_id give a row each. Whole texts are encoded, runs of one character of any length among them; strings that look like special
+tokens are ordinary text. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,12 +41,58 @@ BLOCK_TOKENS = 1 << 19
 STREAM = "file int, block int, tokens binary, first long, ids array<long>"
 
 
-def encoder(path: str = VOCABULARY):
-    import tiktoken
-
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+#: Texts with a run of so many characters, white space or not, are split and, where a piece is that long, merged here; the library can't.
+LONG = 2000
+#: Fixed value: the white space of the vocabulary's pattern, which differs from Python's.
+_WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SPLIT = regex.compile(PATTERN.replace(r"[^\s", f"[^{_WHITE}").replace(r"\S", f"[^{_WHITE}]").replace(r"\s", f"[{_WHITE}]"))
+_RUN = re.compile(rf"[{_WHITE}]{{{LONG}}}|[^{_WHITE}]{{{LONG}}}")
+
+
+class Encoder:
+    """Ids of a text by a byte-pair vocabulary; texts of any shape and length."""
+
+    def __init__(self, path: str = VOCABULARY):
+        import tiktoken
+
+        with open(path, "rb") as lines:
+            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.encoding = tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
+
+    def encode(self, text: str) -> list[int]:
+        if len(text) < LONG or not _RUN.search(text):
+            return self.encoding.encode_ordinary(text)
+        out = []
+        for piece in _SPLIT.finditer(text):
+            raw = piece.group().encode("utf-8", "replace")
+            out += self.merge(raw) if len(raw) > LONG else self.encoding._encode_single_piece(raw)
+        return out
+
+    def merge(self, raw: bytes) -> list[int]:
+        """Ids of one piece by the merges of least rank first, of equal ones the leftmost: a heap of pairs over a linked list of parts."""
+        n, ranks = len(raw), self.ranks
+        # Of the part that starts here: the start of the one before it, and its end, 0 once it is merged into another.
+        before, ends = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(raw[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, end = heapq.heappop(heap)
+            j = ends[i]
+            if not j or j >= n or ends[j] != end:  # either part has changed since
+                continue
+            ends[i], ends[j] = end, 0
+            if end < n:
+                before[end] = i
+                if (r := ranks.get(raw[i : ends[end]])) is not None:
+                    heapq.heappush(heap, (r, i, ends[end]))
+            h = before[i]
+            if h >= 0 and (r := ranks.get(raw[h:end])) is not None:
+                heapq.heappush(heap, (r, h, end))
+        out, i = [], 0
+        while i < n:
+            out.append(ranks[raw[i : ends[i]]])
+            i = ends[i]
+        return out
 
 
 def write_tokens(docs: DataFrame, stage: Stage, vocabulary: str = VOCABULARY, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -52,13 +102,13 @@ def write_tokens(docs: DataFrame, stage: Stage, vocabulary: str = VOCABULARY, bl
     """
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, file = encoder(vocabulary), TaskContext.get().partitionId()
+        enc, file = Encoder(vocabulary), TaskContext.get().partitionId()
         buffer, size, block, first = [], 0, 0, 0
         end = np.array([SEPARATOR], DTYPE)
         for b in batches:
             out = []
             for text in b["text"]:
-                part = np.array(enc.encode_ordinary(text), DTYPE) if text else end[:0]
+                part = np.array(enc.encode(text), DTYPE) if text else end[:0]
                 buffer += (part, end)
                 size += len(part) + 1
                 while size >= block_tokens:
@@ -82,16 +132,26 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 
 def read_token_files(spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS, dtype: str = DTYPE) -> DataFrame:
-    """Blocks (file, block, tokens) of raw ``*.bin`` token files; a file has to fit into a task (2 GB at most)."""
+    """Blocks (file, block, tokens) of raw token files of any size.
+
+    Only names and lengths of the files are listed; tasks read their own byte ranges, through the file systems of pyarrow.
+    """
     step = block_tokens * np.dtype(dtype).itemsize
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("length"))
+    blocks = files.filter(F.col("length") > 0).select("file", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / step))).alias("block"))
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for file, content in zip(b["path"], b["content"]):
-                for k, at in enumerate(range(0, len(content), step)):
-                    yield pd.DataFrame({"file": [file], "block": [k], "tokens": [content[at : at + step]]})
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(cut, "file string, block int, tokens binary")
+        for b in batches:
+            for file, length, block in zip(b["file"], b["length"], b["block"]):
+                system, at = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", file))
+                with system.open_input_file(at) as source:
+                    source.seek(block * step)
+                    yield pd.DataFrame({"file": [file], "block": [block], "tokens": [source.read(min(step, length - block * step))]})
+
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return blocks.repartition(tasks).mapInPandas(read, "file string, block int, tokens binary")
 
 
 def scan(blocks: DataFrame, stage: Stage, separator: int = SEPARATOR, dtype: str = DTYPE) -> DataFrame:
