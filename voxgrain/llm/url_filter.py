@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
 ALLOW, BLOCK = "allow", "block"
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
@@ -96,9 +96,9 @@ class RuleTrie:
 
 def judge_urls(df: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", default: str = ALLOW, trie_limit: int = 500_000) -> DataFrame:
     """``df`` with a struct column ``judged`` (host, path, rule, verdict) for each row's URL, in place of any column of that name."""
+    RuleTrie(rules)  # refuses bad rules here rather than on the executors
     if len(rules) > trie_limit:
         return _judge_by_join(df, rules, url, default)
-    RuleTrie(rules)  # refuses bad rules here rather than on the executors
     sent = df.sparkSession.sparkContext.broadcast(rules)
 
     @F.pandas_udf(JUDGED)
@@ -142,8 +142,9 @@ def _judge_by_join(df: DataFrame, rules: list[tuple[str, str, str]], url: str, d
     judged = F.struct(
         "host", "path", F.col("won.rule").alias("rule"), F.coalesce("won.rule_verdict", F.lit(default)).alias("verdict")
     )
-    found = urls.join(won, F.col("u").eqNullSafe(F.col("of_url")), "left").select(F.col("u").alias("__judged_url"), judged.alias("judged"))
-    return df.drop("judged").join(found, F.col(f"`{url}`").eqNullSafe(F.col("__judged_url")), "left").drop("__judged_url")
+    of = fresh(df, "judged_url")[0]
+    found = urls.join(won, F.col("u").eqNullSafe(F.col("of_url")), "left").select(F.col("u").alias(of), judged.alias("judged"))
+    return df.drop("judged").join(found, F.col(f"`{url}`").eqNullSafe(F.col(of)), "left").drop(of)
 
 
 #: The rules that the query is asked to apply.
