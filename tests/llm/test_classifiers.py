@@ -43,6 +43,31 @@ def test_odd_texts_have_no_language(spark):
     assert {r["language"]["lang_pred"] for r in language_id.predict(df, None).collect()} == {"und"}
 
 
+def test_texts_of_no_learned_language_go(spark):
+    """What is unlike all learned languages is rejected."""
+    rnd = random.Random(3)
+    learned = [(i, text(rnd, lang := rnd.choice(["en", "fr"])), lang, "x", 1.0) for i in range(300)]
+    junk = [(1000 + i, " ".join("".join(rnd.choice("qxzjkwvy") for _ in range(9)) for _ in range(60)), None, "x", 1.0) for i in range(20)]
+    df = spark.createDataFrame(learned + junk, DOCS)
+    likeness = {r["doc_id"]: r["out"]["likeness"] for r in language_id.predict(df, language_id.fit(df), into="out").collect()}
+    assert min(likeness[r[0]] for r in learned) > language_id.OUTSIDE > max(likeness[r[0]] for r in junk)
+    assert {r[0] for r in learned} == {r["doc_id"] for r in language_id.keep_identified(df).collect()}
+
+
+def test_pairs_against_a_plain_one_vs_one(spark):
+    """Family first, then the largest sum of pairwise confidences, computed here from the weights one text at a time."""
+    rnd = random.Random(5)
+    rows = [(i, text(rnd, lang := rnd.choice(list(SYLLABLES))), lang, "x", 1.0) for i in range(200)]
+    df = spark.createDataFrame(rows, DOCS)
+    model = language_id.fit(df)
+    got = {r["doc_id"]: r["out"]["lang_pred"] for r in language_id.predict(df, model, into="out").collect()}
+    for i, t, *_ in rows:
+        v = np.append(language_id.vector(t), 1)
+        family = max(zip((w @ v for w in model.family_w), model.families))[1]
+        votes = {a: sum(1 / (1 + np.exp(-4 * np.clip(w @ v * (1 if a == x else -1), -10, 10))) for (x, y), w in model.pair_w.items() if a in (x, y)) for a in model.members[family]}
+        assert got[i] == max(votes, key=votes.get)
+
+
 def test_families():
     assert language_id.family_of("de-AT") == language_id.family_of("en") == "germanic" and language_id.family_of("zz") == "zz"
 
