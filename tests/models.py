@@ -1,54 +1,42 @@
-"""Character-by-character models of the passes, written from their descriptions, to compare with on random strings."""
+"""What the passes must give, said of texts as a whole: for texts made of known items, and for each letter by what stands before it."""
 
 import re
 
 from voxgrain.functions.text import CONTRACTIONS, SPOKEN
 
+GAP = re.compile(r"""[\s"'(\[{“‘]*\Z""")
 
-def spoken(text):
-    space = " \t\n\f\r"
-    for phrase, symbol in SPOKEN:
-        at = 0
-        while (found := text[at:].lower().find(phrase)) >= 0:
-            start, end = at + found, at + found + len(phrase)
-            if (start and text[start - 1] not in space) or (end < len(text) and text[end] not in space):
-                at = end
-                continue
-            start -= bool(start and text[start - 1] == " ")
-            end += bool(end < len(text) and text[end] == " ")
-            put = symbol + " " if end < len(text) and symbol[-1] not in "\n " else symbol
-            text = text[:start] + put + text[end:]
-            at = start + len(put)
-    return text
-
-
-def contractions(text):
-    def word(c):
-        return c.isalnum() or c == "'"
-
-    for phrase, short in CONTRACTIONS:
-        out, at, low = "", 0, text.lower()
-        while (start := low.find(phrase.lower(), at)) >= 0:
-            end = start + len(phrase)
-            fits = not (start and word(text[start - 1])) and not (end < len(text) and word(text[end]))
-            out += text[at:start] + (((short[0].upper() if text[start].isupper() else short[0]) + short[1:]) if fits else text[start:end])
-            at = end
-        text = out + text[at:]
-    return text
-
-
-def capitals(text):
-    out, armed = "", True
-    for i, c in enumerate(text):
-        if armed and c.isalpha():
-            out, armed = out + c.upper(), False
+
+def spoken_items(items):
+    """The text of ``items`` joined by blanks, and what it becomes: a symbol follows its word, and a blank follows a symbol but not a line break."""
+    symbols, out = dict(SPOKEN), ""
+    for item in items:
+        symbol = symbols.get(item.lower())
+        if symbol is None:
+            out += (" " if out and not out.endswith("\n") else "") + item
         else:
-            out += c
-        if c in "?!\n" or c == "." and (i + 1 == len(text) or text[i + 1].isspace()):
-            armed = True
-        elif armed and not c.isspace() and c not in "\"'([{“‘":
-            armed = False
-    return re.sub(r"\bi\b", "I", out)
+            out += symbol.rstrip(" ")
+    if items and symbols.get(items[-1].lower(), "").endswith(" "):
+        out += " "  # a dash at the end keeps its blank
+    return " ".join(items), out
+
+
+def contracted_items(items):
+    """The text of ``items`` joined by blanks, and what it becomes: phrases contract with their first letter's case, other items stay."""
+    short = {phrase.lower(): out for phrase, out in CONTRACTIONS}
+
+    def one(item):
+        out = short.get(item.lower())
+        return item if out is None else (out[0].upper() if item[0].isupper() else out[0].lower()) + out[1:]
+
+    return " ".join(items), " ".join(map(one, items))
+
+
+def is_first(text, k):
+    """Whether the letter at ``k`` begins the text, a sentence or a line, with blanks, quotes and brackets at most in between."""
+    gap = GAP.search(text[:k])
+    before = text[: gap.start()]
+    return not before or "\n" in gap.group() or before[-1] in "?!" or before[-1] == "." and gap.group()[:1].isspace()
 
 
 def repetitions(text):

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -21,20 +22,47 @@ def test_goldens(spark, name):
     assert apply(spark, getattr(T, name), [None]) == [None]
 
 
-@pytest.mark.parametrize(
-    "function, model, words",
-    [
-        (T.spoken_punctuation, models.spoken, ["period", "Comma", "new line", "new", "paragraph", "dash", "question mark", "a", "é", "period.", "open quote", "colon", "semicolon", "ellipsis"]),
-        (T.restore_contractions, models.contractions, ["It", "is", "not", "can", "Cannot", "I", "am", "will", "you", "are", "there", "that", "bit", "é", "x'"]),
-        (T.capitalize, models.capitals, ["a", "é.", "i", "?", '"b', "1.2", ".", "-", "“c", "ß", "I'm", "i'd", "…", "\n"]),
-        (T.clean_repetitions, models.repetitions, ["a", "A", "b", "é", "a,", "bb", "c\n", "a"]),
-    ],
-)
-def test_against_models(spark, function, model, words):
-    rnd = random.Random(6)
+def test_repetitions_against_model(spark):
+    rnd, words = random.Random(6), ["a", "A", "b", "é", "a,", "bb", "c\n", "a"]
     texts = [rnd.choice(["", " ", "\n"]) + "".join(rnd.choice(words) + rnd.choice([" ", " ", " ", "  ", "\n", ""]) for _ in range(rnd.randrange(12))) for _ in range(3000)]
-    got = apply(spark, function, texts)
-    assert [(t, g, m) for t, g in zip(texts, got) if g != (m := model(t))] == []
+    assert [(t, g, m) for t, g in zip(texts, apply(spark, T.clean_repetitions, texts)) if g != (m := models.repetitions(t))] == []
+
+
+def cased(rnd, text):
+    return rnd.choice([text, text.capitalize()])
+
+
+def test_spoken_punctuation_of_items(spark):
+    """Phrases among words become symbols; words that only contain a phrase, or hold it behind other white space, stay."""
+    rnd, words = random.Random(6), ["a", "é", "period.", "newline", "commas", "x", "?", "dot"]
+    cases = []
+    for _ in range(2000):  # a symbol beside a phrase would hide it from a later pass, so words stand between phrases
+        items = [x for _ in range(rnd.randrange(6)) for x in [cased(rnd, rnd.choice(T.SPOKEN)[0])] * (rnd.random() < 0.6) + [rnd.choice(words)] * rnd.randint(1, 2)]
+        cases.append(models.spoken_items(items[rnd.randrange(2) :] + [cased(rnd, rnd.choice(T.SPOKEN)[0])] * (rnd.random() < 0.3)))
+    assert [(t, g, w) for (t, w), g in zip(cases, apply(spark, T.spoken_punctuation, [t for t, _ in cases])) if g != w] == []
+
+
+def test_contractions_of_items(spark):
+    rnd, words = random.Random(6), ["a", "é", "bit", "isn't", "x'", "cannots", "knot", ";"]
+    cases = []
+    for _ in range(2000):
+        items = []
+        for _ in range(rnd.randrange(8)):
+            items += [cased(rnd, rnd.choice(T.CONTRACTIONS)[0])] * (rnd.random() < 0.5) + [rnd.choice(words)]
+        cases.append(models.contracted_items(items))
+    assert [(t, g, w) for (t, w), g in zip(cases, apply(spark, T.restore_contractions, [t for t, _ in cases])) if g != w] == []
+
+
+def test_capitals_are_the_first_letters(spark):
+    """Only case changes, and only of letters that begin something and of the lone i; the result stays as it is."""
+    rnd, words = random.Random(6), ["a", "é.", "i", "?", '"b', "1.2", ".", "-", "“c", "I'm", "i'd", "…", "\n", "Ab", "ix"]
+    texts = [rnd.choice(["", " ", "\n"]) + "".join(rnd.choice(words) + rnd.choice([" ", " ", " ", "  ", "\n", ""]) for _ in range(rnd.randrange(12))) for _ in range(3000)]
+    got = apply(spark, T.capitalize, texts)
+    lone = re.compile(r"\bi\b")
+    for text, out in zip(texts, got):
+        alone = {m.start() for m in lone.finditer(text)}
+        assert out == "".join(c.upper() if k in alone or c.isalpha() and models.is_first(text, k) else c for k, c in enumerate(text)), text
+    assert apply(spark, T.capitalize, got) == got
 
 
 def test_evaluation_words(spark):

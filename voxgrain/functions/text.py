@@ -162,7 +162,8 @@ def spoken_punctuation(text: Column) -> Column:
 def capitalize(text: Column) -> Column:
     """First letters of the text, of sentences and of lines in upper case, and the lone i; nothing is put in lower case."""
     gap = r"[\s\"'(\[{“‘]{0,64}"
-    begins = rf"(?U)(?<=[?!\n]{gap})(?=\p{{IsAlphabetic}})|(?<=\.\s{gap})(?=\p{{IsAlphabetic}})|(?<=\A{gap})(?=\p{{IsAlphabetic}})"
+    # Most places are inside a word or before a blank: they fail at once, before anything looks back over a gap.
+    begins = rf"(?U)(?<![\p{{IsAlphabetic}}\p{{N}}])(?=\p{{IsAlphabetic}})(?:(?<=[?!\n]{gap})|(?<=\.\s{gap})|(?<=\A{gap}))"
     parts = F.transform(F.split(text, begins, -1), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), p.substr(F.lit(2), F.length(p))))
     return F.regexp_replace(F.array_join(parts, ""), r"(?U)\bi\b", "I")
 

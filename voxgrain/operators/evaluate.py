@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import accumulate, chain, pairwise
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -41,19 +44,41 @@ def error_rate(reference: Column, hypothesis: Column, distance: Column | None =
     return F.when(n == 0, empty).otherwise(distance / n)
 
 
+#: Equal stretches of a group's scores that are ranked as tasks of their own.
+BINS = 1024
+
+
+def _below(counts: DataFrame, score: str, amount: str, groups: list[str], bins: int = BINS) -> DataFrame:
+    """``counts`` (a row for each score of a group) with ``below``: the total of ``amount`` at the group's lower scores.
+
+    Totals within a stretch of scores, plus those of the stretches before it: no task ranks a whole group.
+    """
+    ends = counts.groupBy(*groups).agg(F.min(score).alias("least_"), F.max(score).alias("most_"))
+    ends = ends.select(*[F.col(g).alias(f"{g}_of_") for g in groups], "least_", "most_")
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"{g}_of_")) for g in groups], F.lit(True))
+    share = (F.col(score) - F.col("least_")) / (F.col("most_") - F.col("least_"))
+    finite = (F.col("most_") < float("inf")) & (F.col("least_") > float("-inf")) & (F.col("most_") > F.col("least_"))
+    placed = counts.join(ends, same).withColumn("bin_", F.when(finite, F.floor(share * bins)).otherwise(F.lit(0)))
+    placed = placed.withColumn("inside_", F.sum(amount).over(Window.partitionBy(*groups, "bin_").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)))
+    totals = placed.groupBy(*groups, "bin_").agg(F.sum(amount).alias("total_"))
+    before = F.sum("total_").over(Window.partitionBy(*groups).orderBy("bin_").rowsBetween(Window.unboundedPreceding, -1))
+    totals = totals.select(*[F.col(g).alias(f"{g}_at_") for g in groups], F.col("bin_").alias("bin_at_"), before.alias("before_"))
+    here = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"{g}_at_")) for g in groups], F.col("bin_") == F.col("bin_at_"))
+    below = F.coalesce("inside_", F.lit(0)) + F.coalesce("before_", F.lit(0))
+    return placed.join(totals, here).select(*counts.columns, below.alias("below"))
+
+
 def separation(df: DataFrame, score: str, positive: str, *groups: str) -> DataFrame:
-    """The chance that a ``positive`` row scores lower than another (ties count half), and the medians, in each group.
+    """The chance that a ``positive`` row scores lower than another (ties count half), in each group.
 
     Ranks of distinct scores instead of all pairs: rows are first counted by score, so ties and hot scores cost one row.
     """
-    by = [*groups, score]
-    counts = df.groupBy(*by).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("q"))
-    over = Window.partitionBy(*groups).orderBy(score)
-    ranked = counts.withColumn("above", F.sum("q").over(over.rowsBetween(1, Window.unboundedFollowing)))
-    wins = F.sum(F.col("p") * (F.coalesce("above", F.lit(0)) + F.col("q") * 0.5))
+    counts = df.groupBy(*groups, score).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("q"))
+    ranked = _below(counts, score, "p", list(groups))
+    # A pair is won by each positive row below the other one.
+    wins = F.sum(F.col("q") * (F.col("below") + F.col("p") * 0.5))
     auc = ranked.groupBy(*groups).agg(wins.alias("wins"), F.sum("p").alias("n_low"), F.sum("q").alias("n_high"))
-    auc = auc.select(*groups, "n_low", "n_high", F.when((F.col("n_low") > 0) & (F.col("n_high") > 0), F.col("wins") / (F.col("n_low") * F.col("n_high"))).otherwise(F.lit(float("nan"))).alias("auc"))
-    return auc
+    return auc.select(*groups, "n_low", "n_high", F.when((F.col("n_low") > 0) & (F.col("n_high") > 0), F.col("wins") / (F.col("n_low") * F.col("n_high"))).otherwise(F.lit(float("nan"))).alias("auc"))
 
 
 def gate_counts(df: DataFrame, score: str, positive: str, gate: float, *groups: str) -> DataFrame:
@@ -63,34 +88,48 @@ def gate_counts(df: DataFrame, score: str, positive: str, gate: float, *groups:
 
 
 def medians(df: DataFrame, score: str, *groups: str) -> DataFrame:
-    return df.groupBy(*groups).agg(F.median(score).alias("median"))
+    """The exact median of each group; null scores don't count."""
+    counts = _below(df.filter(F.col(score).isNotNull()).groupBy(*groups, score).agg(F.count("*").alias("n_")), score, "n_", list(groups))
+    sizes = counts.groupBy(*groups).agg(F.sum("n_").alias("size_")).select(*[F.col(g).alias(f"{g}_of_") for g in groups], "size_")
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"{g}_of_")) for g in groups], F.lit(True))
+    at = lambda place: F.max(F.when((F.col("below") <= place) & (place < F.col("below") + F.col("n_")), F.col(score)))
+    middle = (at(F.floor((F.col("size_") - 1) / 2)) + at(F.floor(F.col("size_") / 2))) / 2
+    return counts.join(sizes, same).groupBy(*groups).agg(middle.alias("median"))
+
+
+def _next_row(above: np.ndarray, i: int, word: int, y: np.ndarray) -> np.ndarray:
+    """Row ``i`` of the table of edit distances from the row above it."""
+    across = np.arange(1, len(above))
+    best = np.minimum(above[1:] + 1, above[:-1] + (y != word))
+    # Insertions run along the row: the least of (value - column) so far, plus the column.
+    return np.minimum.accumulate(np.concatenate([[i], best - across])) + np.arange(len(above))
 
 
 def align(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Which words of each side an optimal alignment matches; going back, equal words come before changes, then drops, then insertions."""
-    n, m = len(a), len(b)
+    """Which words of each side an optimal alignment matches; going back, equal words come before changes, then drops, then insertions.
+
+    One row of the table in about sqrt(n) is kept; the rows between two of them are made again on the way back.
+    """
     code = {w: i for i, w in enumerate(dict.fromkeys([*a, *b]))}
     x, y = np.array([code[w] for w in a], int), np.array([code[w] for w in b], int)
-    d = np.empty((n + 1, m + 1), np.int32)
-    d[0] = np.arange(m + 1)
-    across = np.arange(1, m + 1)
-    for i in range(1, n + 1):
-        best = np.minimum(d[i - 1, 1:] + 1, d[i - 1, :-1] + (y != x[i - 1]))
-        # Insertions run along the row: the least of (value - column) so far, plus the column.
-        row = np.minimum.accumulate(np.concatenate([[i], best - across]))
-        d[i, 0], d[i, 1:] = i, row[1:] + across
-    of_a, of_b = np.zeros(n, bool), np.zeros(m, bool)
-    i, j = n, m
-    while i or j:
-        if i and j and x[i - 1] == y[j - 1] and d[i, j] == d[i - 1, j - 1]:
-            i, j = i - 1, j - 1
-            of_a[i] = of_b[j] = True
-        elif i and j and d[i, j] == d[i - 1, j - 1] + 1:
-            i, j = i - 1, j - 1
-        elif i and d[i, j] == d[i - 1, j] + 1:
-            i -= 1
-        else:
-            j -= 1
+    stride, row, kept = max(1, isqrt(len(x))), np.arange(len(y) + 1), []
+    for i, word in enumerate(x):
+        if i % stride == 0:
+            kept.append(row)
+        row = _next_row(row, i + 1, word, y)
+    of_a, of_b = np.zeros(len(x), bool), np.zeros(len(y), bool)
+    column = len(y)
+    for first, top in reversed(list(zip(range(0, len(x), stride), kept))):
+        part = x[first : first + stride]
+        rows = list(accumulate(enumerate(part, first + 1), lambda above, w: _next_row(above, *w, y), initial=top))
+        for at in range(len(part) - 1, -1, -1):
+            above, here, word = rows[at], rows[at + 1], part[at]
+            # Insertions at the row's end: columns that neither a diagonal nor a drop reaches.
+            diagonal = np.append(False, above[:-1] + (y != word) == here[1:])
+            column = int(np.flatnonzero((diagonal | (above + 1 == here))[: column + 1])[-1])
+            if diagonal[column]:
+                column -= 1
+                of_a[first + at] = of_b[column] = y[column] == word
     return of_a, of_b
 
 
@@ -103,23 +142,21 @@ def matched(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([align(list(x), list(y)) if x is not None and y is not None else (None, None) for x, y in zip(a, b)], columns=["of_a", "of_b"])
 
 
+def anchors(a: list[str], b: list[str], k: int) -> Iterator[tuple[int, int]]:
+    """Where runs of ``k`` words of ``a`` lie in ``b``, at their first places there, none behind or across one before."""
+    runs = lambda words: [tuple(words[i : i + k]) for i in range(len(words) - k)]
+    first = dict(reversed([(run, j) for j, run in enumerate(runs(b))]))
+    free_a = free_b = 0
+    for i, j in ((i, first[run]) for i, run in enumerate(runs(a)) if run in first):
+        if i >= free_a and j >= free_b:
+            yield i, j
+            free_a, free_b = i + k, j + k
+
+
 def spans(a: list[str], b: list[str], k: int = 5) -> list[tuple[str, str]]:
-    """Stretches that differ between anchors: runs of ``k`` words of ``a`` that ``b`` holds, first places, in order."""
-    where: dict[tuple, int] = {}
-    for j in range(len(b) - k):
-        where.setdefault(tuple(b[j : j + k]), j)
-    out, i, next_b, done_a, done_b = [], 0, 0, 0, 0
-    while i < len(a) - k:
-        j = where.get(tuple(a[i : i + k]))
-        if j is None or j < next_b:
-            i += 1
-            continue
-        here = " ".join(a[done_a:i]), " ".join(b[done_b:j])
-        if here[0] != here[1]:
-            out.append(here)
-        i, next_b = i + k, j + k
-        done_a, done_b = i, next_b
-    return out
+    """Stretches that differ, each before an anchor."""
+    between = (((" ".join(a[p + k : i])), " ".join(b[q + k : j])) for (p, q), (i, j) in pairwise(chain([(-k, -k)], anchors(a, b, k))))
+    return [(x, y) for x, y in between if x != y]
 
 
 _SPANS = ArrayType(StructType([StructField("a", StringType()), StructField("b", StringType())]))

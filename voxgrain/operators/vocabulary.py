@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.text import before_terms, capitalize
 
 MIN_WORD = 3
-#: More corrections than this are joined by shuffle.
-MAP_LIMIT = 100_000
+#: More corrections than this are joined by shuffle: a map is searched from end to end for each word.
+MAP_LIMIT = 1000
 #: Words and what lies between them, in turn.
 PIECES = r"([\p{IsAlphabetic}\p{N}']+|[^\p{IsAlphabetic}\p{N}']+)"
 WORDS = r"([\p{IsAlphabetic}\p{N}']+)"
@@ -95,6 +95,9 @@ def corrections(words: DataFrame, terms: DataFrame) -> DataFrame:
     found = long.withColumn("key", lower(F.col("word"))).join(spelled, "key", "left")
     same = found.filter(F.col("exact").isNotNull()).select("word", F.col("exact").alias("term"))
     open_ = found.filter(F.col("exact").isNull() & ~F.lower("word").isin(*sorted(COMMON_ENGLISH))).select("word")
+    # To encode a word costs far more than to move it, so partitions are not to be merged by their bytes.
+    spark = words.sparkSession
+    open_ = open_.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "word")
     sounds = open_.select("word", F.explode(F.split(beider_morse(F.col("word")), r"\|")).alias("code")).filter(F.col("code") != "")
     by_code = encoded_terms(terms).select("line_no", "term", F.explode("codes").alias("code"))
     heard = sounds.join(by_code, "code").groupBy("word").agg(F.min_by("term", "line_no").alias("term"))
@@ -105,13 +108,13 @@ def correct_terms(df: DataFrame, terms: DataFrame, text: str = "text", map_limit
     """``df`` with the words of ``text`` replaced by the vocabulary's terms; what stands between words is kept as it is."""
     words = df.select(F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(WORDS)))).alias("word")).distinct()
     found = corrections(words, terms)
-    pieces = F.regexp_extract_all(F.col(text), F.lit(PIECES))
     some = found.limit(map_limit + 1).collect()
     if len(some) <= map_limit:
         if not some:
             return df
         spark = df.sparkSession
         known = spark.createDataFrame([(dict((r["word"], r["term"]) for r in some),)], "known_ map<string,string>")
+        pieces = F.regexp_extract_all(F.col(text), F.lit(PIECES))
         fixed = F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at("known_", p), p)), "")
         return df.crossJoin(F.broadcast(known)).withColumn(text, F.when(F.col(text).isNotNull(), fixed)).drop("known_")
     keyed = df.withColumn("row_", F.xxhash64(F.col(text)))

@@ -55,7 +55,7 @@ def _pass(function, name: str, sql: str | None = None) -> None:
     query(sql)(run)
 
 
-# Transcript repair. RE2 has neither backreferences nor look-around, so most of these have no SQL twin; tests hold them against per-character models.
+# Transcript repair. RE2 has neither backreferences nor look-around: the SQL twins use marks instead, and repetitions have none; tests hold these against models.
 
 _W = r"\p{L}\p{M}\p{N}\p{Pc}"
 _S = r"[\s\x0b\x{85}\p{Z}]"
@@ -66,18 +66,103 @@ def _correction_sql() -> str:
     for phrase in T.CORRECTIONS:
         pattern = phrase.replace(r"\w", f"[{_W}]").replace(r"\s", _S)
         expression = f"regexp_replace({expression}, '(?i)^(?:[^\\n]*[^{_W}\\n])?{pattern}{_S}+', '')"
-    return f"select conv_id, turn, regexp_replace(regexp_replace({expression}, '^{_S}+', ''), '{_S}+$', '') as text from conversations"
+    return f"regexp_replace(regexp_replace({expression}, '^{_S}+', ''), '{_S}+$', '')"
 
 
-_pass(T.course_correction, "course_correction", _correction_sql())
-_pass(T.clean_repetitions, "clean_repetitions")
-_pass(T.remove_fillers, "remove_fillers")
-_pass(T.spoken_punctuation, "spoken_punctuation")
-_pass(T.capitalize, "capitalize")
-_pass(T.restore_contractions, "restore_contractions")
+def _replaced(expression: str, pattern: str, new: str) -> str:
+    pattern, new = pattern.replace("'", "''"), new.replace("'", "''")
+    return f"regexp_replace({expression}, '{pattern}', '{new}', 'g')"
 
 
-@query()
+def _turns_sql(expression: str) -> str:
+    return f"select conv_id, turn, {expression} as text from conversations"
+
+
+def _stripped_sql(expression: str) -> str:
+    return _replaced(_replaced(_replaced(expression, f"{_S}{{2,}}", " "), f"^{_S}+", ""), f"{_S}+$", "")
+
+
+def _fillers_sql() -> str:
+    expression, edge = "text", f"(^|[^{_W}])"
+    for word in T.HESITATIONS + T.FILLERS:
+        for _ in range(3):  # neighbours share what lies between them
+            expression = _replaced(expression, rf"(?i){edge}{word}(?:{_S}+,?{_S}*|,{_S}*|$|([^{_W}]))", r"\1 \2")
+    for pattern, new in ((rf"(?i),{_S}*like{_S}*,", ","), (rf"(?i){edge}like{_S}*,{_S}*(uh|um|so|you know)", r"\1"), (rf"(?i)^like{_S}+", "")):
+        expression = _replaced(expression, pattern, new)
+    return _stripped_sql(expression)
+
+
+def _spoken_sql() -> str:
+    """Phrases between white space become marks, with white space doubled so that neighbours can share none; then marks attach."""
+    expression, mark, spaced = "text", "\x01", "\x03"
+    for phrase, symbol in T.SPOKEN:
+        space = "[ \t\n\f\r]"
+        doubled = _replaced(expression, f"({space})", r"\1\1")
+        doubled = _replaced(doubled, rf"(?i)(^|{space}){phrase.replace(' ', '  ')}({space}|$)", rf"\1{mark}\2")
+        for c in " \t\n\f\r":
+            doubled = f"replace({doubled}, '{c}{c}', '{c}')"
+        if symbol.endswith("\n"):
+            expression = _replaced(doubled, f" ?{mark} ?", symbol)
+        elif symbol != symbol.strip():
+            expression = f"replace(replace({_replaced(doubled, f' ?{mark}', f' {symbol.strip()}{spaced}')}, '{spaced} ', ' '), '{spaced}', ' ')"
+        else:
+            expression = f"replace({doubled}, '{mark} ', '{spaced} ')"
+            for pattern, new in ((rf" ?(?:{mark}|{spaced} )$", symbol), (f" ?{spaced}", symbol), (f" ?{mark}", f"{symbol} ")):
+                expression = _replaced(expression, pattern, new)
+    return expression
+
+
+def _capitals_sql(source: str = "text") -> str:
+    gap = r"""[\s\x0b\x{85}\p{Z}"'(\[{“‘]*"""
+    marked = _replaced(source, rf"(^{gap}|[?!\n]{gap}|\.{_S}{gap})(\p{{L}})", "\\1\x01\\2")
+    joined = f"array_to_string(list_transform(string_split({marked}, '\x01'), lambda p: upper(p[1]) || p[2:]), '')"
+    for _ in range(2):  # neighbours share what lies between them
+        joined = _replaced(joined, f"(^|[^{_W}])i([^{_W}]|$)", r"\1I\2")
+    return joined
+
+
+def _contractions_sql() -> str:
+    expression, edge = "text", r"[^\p{L}\p{M}\p{N}']"
+    for phrase, short in T.CONTRACTIONS:
+        for lead, out in ((phrase[0].upper(), short[0].upper() + short[1:]), (phrase[0].lower(), short)):
+            for _ in range(2):
+                expression = _replaced(expression, f"(^|{edge}){lead}(?i:{phrase[1:]})({edge}|$)", rf"\1{out}\2")
+    return expression
+
+
+def _repetitions_sql(source: str, name: str) -> str:
+    """CTEs that end with ``name`` (conv_id, turn, text and the source's other columns): runs of three words, two and one that come again are taken out one by one.
+
+    A text is a list of words and what lies between them in turn; a run of n words from place i on comes again if its 2 n - 1 parts are those from i + 2 n on.
+    """
+    part = lambda first, last: f"lower(array_to_string(p[{first}:{last}], ''))"
+    again = f"{part('i', 'i + 2 * n - 2')} = {part('i + 2 * n', 'i + 4 * n - 2')} and i + 4 * n - 2 <= len(p) and regexp_full_match(p[i + 2 * n - 1], '{_S}+')"
+    again += f" and regexp_full_match(array_to_string(p[i:i + 2 * n - 2], ''), '[{_W}]+({_S}+[{_W}]+)*')"
+    return f"""
+{name}_runs as (
+  select *, 3 as n, regexp_extract_all(text, '[{_W}]+|[^{_W}]+') as p from {source}
+  union all
+  select * exclude (n, p, hit), case when hit is null then n - 1 else n end, case when hit is null then p else p[1:hit + 2 * n - 2] || p[hit + 4 * n - 1:] end
+  from (select *, list_min(list_filter(range(1, len(p) + 1), lambda i: {again})) as hit from {name}_runs where n > 0)),
+{name} as (select * exclude (n, p) replace ({_stripped_sql("array_to_string(p, '')")} as text) from {name}_runs where n = 0)"""
+
+
+_pass(T.course_correction, "course_correction", _turns_sql(_correction_sql()))
+_pass(T.clean_repetitions, "clean_repetitions", f"with recursive {_repetitions_sql('conversations', 'cleaned')} select conv_id, turn, text from cleaned")
+_pass(T.remove_fillers, "remove_fillers", _turns_sql(_fillers_sql()))
+_pass(T.spoken_punctuation, "spoken_punctuation", _turns_sql(_spoken_sql()))
+_pass(T.capitalize, "capitalize", _turns_sql(_capitals_sql()))
+_pass(T.restore_contractions, "restore_contractions", _turns_sql(_contractions_sql()))
+
+
+@query(
+    f"""with recursive shaped as (select conv_id, turn, role, text as raw, case when role = 'assistant' then {_contractions_sql()} else text end as text from conversations),
+corrected as (select * replace ({_correction_sql()} as text) from shaped),{_repetitions_sql("corrected", "cleaned")},
+filled as (select * replace ({_fillers_sql()} as text) from cleaned),
+spoken as (select * replace ({_spoken_sql()} as text) from filled),
+fixed as (select * replace ({_capitals_sql()} as text) from spoken)
+select conv_id, turn, role, text as fixed, text <> raw as changed from fixed"""
+)
 def fix_transcription(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn repaired, with whether that changed it; assistants' turns as the long profile."""
     turns = _spread(_table(spark, sf_dir, "conversations"))
@@ -317,22 +402,36 @@ def detokenise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.groupBy("user_id").agg(T.detokenise(in_order).alias("text"))
 
 
-@query()
+@query(
+    """
+with recursive f as (select label as clip_id, row_number() over (partition by label order by vec_id) - 1 as frame, list_transform(embedding[1:21], lambda x: x::double) as e from embeddings),
+walk as (
+  select distinct clip_id, 0::bigint as place, 0 as held, null::bigint as previous, 0 as given, null::bigint as id, null::bigint as frame, null::double as p from f
+  union all
+  select clip_id, place + move, case when move > 0 then 0 else kept end, case when token > 0 then token else previous end, given + (token > 0)::int,
+    case when token > 0 then token end, place, p
+  from (select *, case when skip > 0 then skip when token = 0 or kept >= 10 then 1 else 0 end as move
+    from (select *, held + (token > 0)::int as kept
+      from (select clip_id, place, held, previous, given, list_position(l[1:16], list_max(l[1:16])) - 1 as token, list_position(l[17:21], list_max(l[17:21])) - 1 as skip,
+          1 / list_sum(list_transform(l[1:16], lambda x: exp(x - list_max(l[1:16])))) as p
+        from (select w.*, list_transform(e, lambda x, i: x - case when i = w.previous + 1 then 0.5::double else 0::double end) as l
+          from walk w join f on f.clip_id = w.clip_id and f.frame = w.place)))))
+select clip_id, (given - 1)::int as pos, id, frame, round(p, 9) as p from walk where id is not null
+"""
+)
 def transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy decoding of each label's embeddings as frames; the joint network adds up frame and previous token."""
+    """Greedy decoding of each label's embeddings as frames; the joint network takes frames as they are, less a little for the previous token."""
 
     def joint(previous, state, frame):
-        import numpy as np
-
-        logits = frame[:21].copy()
+        logits = frame[:21].astype("float64")
         if previous is not None:
             logits[previous] -= 0.5
-        return np.asarray(logits), (state or 0) + 1
+        return logits, (state or 0) + 1
 
     rows = _table(spark, sf_dir, "embeddings")
     frame = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
     frames = rows.select(F.col("label").alias("clip_id"), frame.alias("frame"), F.col("embedding").alias("features"))
-    return decode.decode_clips(frames, lambda x: decode.tdt_greedy(x, joint, width=16, blank=0))
+    return decode.decode_clips(frames, lambda x: decode.tdt_greedy(x, joint, width=16, blank=0)).withColumn("p", F.round("p", 9))
 
 
 # Signals
@@ -544,3 +643,6 @@ def models(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = _table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("base_ord"), F.concat(F.lit("/m/"), F.col("n_regionkey").cast("string"), F.lit("/"), name).alias("path"), name.alias("dir"), F.explode(files).alias("file"), F.lit(False).alias("is_base"))
     return catalog.models(rows).select("kind", "path", "variant", "label", "ord")
+
+
+from . import speech  # noqa: E402, F401  registers its queries

@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or on one machine a temporary one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = scratch_dir.own = getattr(scratch_dir, "own", None) or "file://" + tempfile.mkdtemp(prefix="voxgrain-")
+    return found.rstrip("/")
+
+
 def local_session(app: str = "voxgrain", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A session for one machine; on a cluster the submitting side owns these settings."""
     return (

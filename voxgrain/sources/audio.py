@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -14,6 +15,13 @@ from pyspark.sql import functions as F
 CLIP = "path string, rate int, channels int, samples array<float>"
 
 
+def file_system(uri: str):
+    """The file system of a path or URI, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub(r"\Afile:/+", "file:///", uri))
+
+
 def chunks(content: bytes) -> Iterator[tuple[bytes, int, int]]:
     """(name, start, length as written) of the chunks of a RIFF file; nothing for other files."""
     if len(content) < 12 or content[:4] != b"RIFF" or content[8:12] != b"WAVE":
@@ -88,14 +96,19 @@ def read_wav(spark: SparkSession, path: str, first_channel: bool = False) -> Dat
 
 
 def wav_seconds(spark: SparkSession, path: str) -> DataFrame:
-    """path, seconds of WAV files, from the first 64 KB of each."""
+    """path, seconds of WAV files. Only names and lengths are listed; the first 64 KB of each file are read, whatever its length."""
 
     @F.pandas_udf("double")
-    def seconds(head: pd.Series, size: pd.Series) -> pd.Series:
-        return pd.Series([header_seconds(bytes(h), int(n)) for h, n in zip(head, size)], dtype="float64")
+    def seconds(paths: pd.Series, size: pd.Series) -> pd.Series:
+        out = []
+        for at, n in zip(paths, size):
+            system, place = file_system(at)
+            with system.open_input_file(place) as source:
+                out.append(header_seconds(source.read(min(65_536, int(n))), int(n)))
+        return pd.Series(out, dtype="float64")
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[wW][aA][vV]").load(path)
-    return files.select("path", seconds(F.substring("content", 1, 65536), F.col("length")).alias("seconds"))
+    return files.select("path", seconds("path", "length").alias("seconds"))
 
 
 def live_samples(values: Column, kind: str, channels: int) -> Column:
@@ -105,24 +118,22 @@ def live_samples(values: Column, kind: str, channels: int) -> Column:
 
 
 def write_wav(clips: DataFrame, folder: str, name: str = "stamp") -> DataFrame:
-    """Writes ``clips`` (name, rate, samples) as ``<name>.wav`` on a file system that all executors mount.
+    """Writes ``clips`` (name, rate, samples) as ``<name>.wav`` to a folder of any file system that pyarrow knows.
 
     Each file appears whole: it is written beside its place and renamed, so a repeated task does no harm. Returns path and bytes.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pathlib import Path
-
-        top = Path(folder.removeprefix("file://"))
-        top.mkdir(parents=True, exist_ok=True)
+        system, top = file_system(folder)
+        system.create_dir(top, recursive=True)
         for b in batches:
             out = []
             for stem, rate, samples in zip(b[name], b["rate"], b["samples"]):
-                content, path = wav_bytes(samples, int(rate)), top / f"{stem}.wav"
-                beside = top / f".{stem}.{uuid.uuid4().hex}"
-                beside.write_bytes(content)
-                beside.rename(path)
-                out.append((str(path), len(content)))
+                content, path, beside = wav_bytes(samples, int(rate)), f"{top}/{stem}.wav", f"{top}/.{stem}.{uuid.uuid4().hex}"
+                with system.open_output_stream(beside) as sink:
+                    sink.write(content)
+                system.move(beside, path)
+                out.append((path, len(content)))
             yield pd.DataFrame(out, columns=["path", "n_bytes"])
 
     return clips.select(name, "rate", "samples").mapInPandas(run, "path string, n_bytes long")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import clock
 from ..functions.text import WORD_PIECE_MARK, strip
+from .audio import file_system
 
 SCORES = "index int, word string, p1 double, margin double"
 
@@ -79,7 +80,9 @@ def read_vocabulary(spark: SparkSession, path: str, mark_as_space: bool = True,
 
 def read_filters(path: str, bands: int = 128, bins: int = 257) -> np.ndarray:
     """A bank of mel filters as shipped with a model: little-endian floats, (bands, bins); its size is fixed and checked."""
-    raw = np.fromfile(path, "<f4")
+    system, place = file_system(path)
+    with system.open_input_file(place) as source:
+        raw = np.frombuffer(source.read(), "<f4")
     if raw.size != bands * bins:
         raise ValueError(f"{path} holds {raw.size} numbers, not {bands * bins}")
     return raw.reshape(bands, bins)
