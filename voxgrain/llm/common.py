@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import scratch_dir
+
 #: Words are runs of anything but these six characters: space, tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -24,18 +25,6 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return [n + tail for n in names]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or our own where none is set on one machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = getattr(shared_dir, "own", None)
-        if found is None:
-            found = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="voxgrain-")
-    return found.rstrip("/")
-
-
 class Stage:
     """Written intermediate tables of one query run.
 
@@ -44,7 +33,7 @@ class Stage:
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/voxgrain/{name}-{uuid.uuid4().hex}"
+        self.spark, self.root = spark, f"{scratch_dir(spark)}/voxgrain/{name}-{uuid.uuid4().hex}"
 
     def put(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         path = f"{self.root}/{name}"
