@@ -26,9 +26,9 @@ class Polyphase:
 
     def __init__(self, source: int, target: int):
         self.step = source / target
+        self.stride, self.phases = source // gcd(source, target), target // gcd(source, target)
         cut = CUTOFF * min(source, target) / source
         self.half = ceil(ZERO_CROSSINGS / (2 * cut))
-        self.phases = target // gcd(source, target)
         offset = np.arange(2 * self.half) - self.half + 1 - np.arange(self.phases)[:, None] / self.phases
         angle = np.pi * (offset + self.half) / self.half
         window = np.where(np.abs(offset) <= self.half, 0.42 - 0.5 * np.cos(angle) + 0.08 * np.cos(2 * angle), 0.0)
@@ -44,9 +44,8 @@ class Polyphase:
         out = np.empty(last - first, np.float32)
         taps = np.arange(2 * self.half)
         for low in range(first, last, block):
-            centre = np.arange(low, min(low + block, last)) * self.step
-            base = np.floor(centre).astype(np.int64)
-            phase = np.rint((centre - base) * self.phases).astype(np.int64) % self.phases
+            centre = np.arange(low, min(low + block, last), dtype=np.int64) * self.stride  # in units of a phase
+            base, phase = centre // self.phases, centre % self.phases
             index = base[:, None] - self.half + 1 + taps - start
             inside = (index >= 0) & (index < len(held))
             x = np.where(inside, held[np.clip(index, 0, max(len(held) - 1, 0))] if len(held) else 0.0, 0.0)
@@ -177,12 +176,17 @@ def features(samples: Column, bands: int = 80, multiple: int = 512) -> Column:
     return run(samples)
 
 
+def pause_frame(rate: int) -> int:
+    """Samples of the frames that a pause is looked for in."""
+    return int(rate * PAUSE * 1000) // 1000
+
+
 def quiet_windows(n: int, rate: int, energy: Callable[[np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
     """Windows (start, end) that tile ``n`` samples, cut in the middle of the quietest frame near each target length.
 
     ``energy`` takes frame starts and gives their energies. The last window may run on to the end of the search range.
     """
-    frame, target, search = int(rate * PAUSE * 1000) // 1000, int(TARGET * rate), int(SEARCH * rate)
+    frame, target, search = pause_frame(rate), int(TARGET * rate), int(SEARCH * rate)
     out, start = [], 0
     while start < n:
         if n - start <= target + search or not frame:
@@ -196,7 +200,7 @@ def quiet_windows(n: int, rate: int, energy: Callable[[np.ndarray], np.ndarray])
 
 def sample_energy(samples: np.ndarray, rate: int) -> Callable[[np.ndarray], np.ndarray]:
     """Energies of frames of ``samples``: sums of squares."""
-    frame = int(rate * PAUSE * 1000) // 1000
+    frame = pause_frame(rate)
 
     def energy(at: np.ndarray) -> np.ndarray:
         return (samples[at[:, None] + np.arange(frame)].astype(np.float64) ** 2).sum(1)

@@ -499,24 +499,6 @@ def _clips(spark: SparkSession, sf_dir: str, rate: int) -> DataFrame:
     return rows.groupBy(F.col("label").alias("clip_id")).agg(samples.alias("samples")).withColumn("rate", F.lit(rate))
 
 
-@query()
-def quiet_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signal.plan_windows(_clips(spark, sf_dir, 50))
-
-
-@query()
-def resample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clips = _clips(spark, sf_dir, 44_100)
-    out = clips.select("clip_id", F.size("samples").alias("n_in"), signal.resample(F.col("samples"), F.col("rate")).alias("y"))
-    return out.select("clip_id", "n_in", F.size("y").alias("n_out"), N.body_rms(F.col("y")).alias("rms"))
-
-
-@query()
-def mel_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _clips(spark, sf_dir, 16_000).select("clip_id", signal.features(F.col("samples")).alias("f"))
-    return found.select("clip_id", F.col("f.n_real").alias("frames"), F.size("f.rows").alias("padded"), F.size(F.get("f.rows", F.lit(0))).alias("width"))
-
-
 # Time, reports, catalog
 
 
@@ -645,4 +627,4 @@ def models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.models(rows).select("kind", "path", "variant", "label", "ord")
 
 
-from . import speech  # noqa: E402, F401  registers its queries
+from . import signals, speech  # noqa: E402, F401  register their queries

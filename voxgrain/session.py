@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -17,6 +18,18 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder that the driver and all executors share."""
+    return f"{scratch_dir(spark)}/voxgrain/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: what several steps read is computed once, and a lost executor costs no more than its tasks."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_session(app: str = "voxgrain", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A session for one machine; on a cluster the submitting side owns these settings."""
     return (
