@@ -1,9 +1,13 @@
+from datetime import UTC, datetime
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from voxgrain.functions import numeric as N
 from voxgrain.operators import signal as S
+from voxgrain.operators.blocks import LogMel, Resampling
+from voxgrain.sources import replay
 from voxgrain.streaming import capture as C
 
 
@@ -29,20 +33,29 @@ def test_tones_that_would_alias_go():
 
 
 @pytest.mark.parametrize("chunk", [1, 7, 160, 441, 1024, 8820])
-def test_streamed_resampling_is_batch_resampling(chunk):
-    x = tone(8820, 700, 44_100) + np.random.default_rng(1).normal(0, 0.1, 8820).astype(np.float32)
-    flow = C.StreamingResampler(44_100)
-    parts = [flow.push(x[i : i + chunk]) for i in range(0, len(x), chunk)] + [flow.finish()]
-    want = S.resample_array(x, 44_100, 16_000)
-    got = np.concatenate(parts)
+@pytest.mark.parametrize(("source", "target"), [(44_100, 16_000), (16_000, 44_100), (16_000, 16_000)])
+def test_streamed_resampling_is_batch_resampling(chunk, source, target):
+    x = tone(8820, 700, source) + np.random.default_rng(1).normal(0, 0.1, 8820).astype(np.float32)
+    got, kernel, state = [], Resampling(source, target), (0, 0, 0, ())
+    for i in range(0, len(x), chunk):  # the flow is made anew of its state each time
+        flow = C.Flow(kernel, state)
+        got.append(flow.push(x[i : i + chunk]))
+        state = flow.state()
+        assert len(state[3]) <= 2 * polyphase_reach(kernel) + chunk
+    got = np.concatenate([*got, C.Flow(kernel, state).finish()])
+    want = S.resample_array(x, source, target)
     assert len(got) == len(want) and np.abs(got - want).max() < 1e-6
 
 
+def polyphase_reach(kernel):
+    return kernel.bank.half + 3
+
+
 @pytest.mark.parametrize("chunk", [160, 1024, 8960, 17_920])
 def test_streamed_spectra_are_batch_spectra(chunk):
     x = tone(16_000, 440, 16_000)
     filters = S.htk_filters(128)
-    flow = C.StreamingSpectra(filters)
+    flow = C.Flow(LogMel(filters))
     got = np.concatenate([flow.push(x[i : i + chunk]) for i in range(0, len(x), chunk)] + [flow.finish()])
     want = S.log_mel(x, filters)
     assert got.shape == want.shape == (101, 128) and np.abs(got - want).max() < 1e-3
@@ -83,44 +96,55 @@ def test_array_functions(spark):
 def test_decoder_carries_context():
     seen = []
 
-    def decode(chunk, state):
+    def decode(chunk, cache):
         seen.append(chunk[:, 0].tolist())
-        return [len(chunk)], (state or 0) + 1
-
-    flow = C.StreamingDecoder(decode, bands=1, chunk=4, context=2)
-    frames = np.arange(1.0, 11.0)[:, None]
-    out = flow.push(frames[:3]) + flow.push(frames[3:9]) + flow.push(frames[9:]) + flow.finish()
-    assert out == [6, 6, 4] and flow.state == 3 and seen == [[0, 0, 1, 2, 3, 4], [3, 4, 5, 6, 7, 8], [7, 8, 9, 10]]
-
-
-def test_streams(spark, tmp_path):
-    """Chunks that arrive out of order, in several files, resampled and turned into spectra by streaming queries."""
-    x = {c: tone(5000 + 37 * i, 300 + 50 * i, 44_100) for i, c in enumerate("ab")}
-    rows = [(c, k, v[i : i + 600].tolist(), i + 600 >= len(v)) for c, v in x.items() for k, i in enumerate(range(0, len(v), 600))]
-    for n, part in enumerate([rows[1::2], rows[0::2]]):
-        spark.createDataFrame(part, C.CHUNK).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    source = lambda: spark.readStream.schema(C.CHUNK).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    filters = S.htk_filters(80)
-    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # timeouts by the clock ask for one more batch for ever
-
-    def collect(stream, name):
-        q = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
-        q.awaitTermination(240)
-        return spark.sql(f"select * from {name} order by capture_id, at").collect()
-
-    got = collect(C.resampled(source(), 44_100), "resampled_")
+        return [len(chunk)], (cache or 0) + 1
+
+    make = lambda state: C.DecodeFlow(LogMel(S.htk_filters(1)), decode, 1, 4, 2, state)
+    frames, out, state = np.arange(1.0, 11.0)[:, None], [], None
+    for part in (frames[:3], frames[3:9], frames[9:]):
+        flow = make(state)
+        out += flow.gather(part)
+        state = flow.state()
+    flow = make(state)
+    assert out + flow._decode(len(flow.pending)) == [6, 6, 4] and flow.cache == 3 and seen == [[0, 0, 1, 2, 3, 4], [3, 4, 5, 6, 7, 8], [7, 8, 9, 10]]
+
+
+def test_streams_go_on_after_a_restart(spark, tmp_path):
+    """Chunks out of order and twice, recorded in two parts; the query begins again between them, in the middle of the captures."""
+    x = {c: tone(5000 + 37 * i, 300 + 50 * i, 44_100) for i, c in enumerate("abc")}
+    rows = [(c, k, datetime.fromtimestamp(1_700_000_000 + k, UTC), v[i : i + 600].tolist(), i + 600 >= len(v) and c != "c") for c, v in x.items() for k, i in enumerate(range(0, len(v), 600))]
+    rows = [r for r in rows if not (r[0] == "c" and r[1] == 5)]  # a gap: what lies behind it never has its turn
+    early = [r for r in rows if r[1] in (0, 2, 3, 4)]
+    late = [r[:2] + (datetime.fromtimestamp(1_700_000_100, UTC),) + r[3:] for r in rows if r[1] not in (0, 3, 4)]  # seq 2 comes again
+    own, folder = C.stream_session(spark), str(tmp_path / "in")
+    own.conf.set("spark.sql.shuffle.partitions", "2")
+    replay.register(own)
+    filters = S.htk_filters(20)
+    steps = {"resampled": lambda s: C.resampled(s, 44_100), "spectra": lambda s: C.spectra(s, filters), "decoded": lambda s: C.decoded(s, filters, lambda x, n: ([len(x), n or 0], (n or 0) + 1), 7, 3)}
+    clock = [("z", 0, datetime.fromtimestamp(1_700_009_000, UTC), [], False)]  # moves the watermark, by which the next batch goes
+    for part in (early, late, clock, [("z", 1, datetime.fromtimestamp(1_700_009_001, UTC), [], False)]):
+        replay.record(spark.createDataFrame(part, C.CHUNK).coalesce(1), folder)
+        for name, step in steps.items():
+            stream = own.readStream.format("capture_replay").option("path", folder).load().withWatermark("at", "10 seconds")
+            query = step(stream).writeStream.format("parquet").option("path", f"{tmp_path}/{name}").option("checkpointLocation", f"{tmp_path}/{name}-checkpoint").trigger(availableNow=True).start()
+            assert query.awaitTermination(240) and query.exception() is None
+    got = {name: spark.read.parquet(f"{tmp_path}/{name}").orderBy("capture_id", "place").collect() for name in steps}
+    x["c"] = x["c"][:3000]
     for c, v in x.items():
+        rows = [r for r in got["resampled"] if r.capture_id == c]
         want = S.resample_array(v, 44_100, 16_000)
-        assert np.abs(np.array([r["sample"] for r in got if r.capture_id == c]) - want).max() < 1e-6
-    got = collect(C.spectra(source(), filters), "spectra_")
-    for c, v in x.items():
-        want = S.log_mel(v, filters)
-        assert np.abs(np.array([r.mel for r in got if r.capture_id == c]) - want).max() < 1e-3
+        assert [r["place"] for r in rows] == list(range(len(want))) and np.abs(np.array([r["sample"] for r in rows]) - want).max() < 1e-6
+        rows, want = [r for r in got["spectra"] if r.capture_id == c], S.log_mel(v, filters)
+        assert [r["place"] for r in rows] == list(range(len(want))) and np.abs(np.array([r.mel for r in rows]) - want).max() < 1e-3
+        ids = [r.id for r in got["decoded"] if r.capture_id == c]
+        assert ids[1::2] == list(range(-(-len(want) // 7))) and sum(i - 3 for i in ids[::2]) == len(want)
+    assert {r.capture_id for name in got for r in got[name]} == {"a", "b", "c"}
 
 
 def test_events(spark):
     rows = [(1, i, k) for i, k in enumerate(["pressed", "released", "pressed", "released", "pressed"])]
     df = spark.createDataFrame(rows, "u int, at int, kind string")
     assert [r.kind for r in C.toggled(df, "kind", ["at"], "u").orderBy("at").collect()] == ["pressed", "released", "pressed"]
-    chunks = spark.createDataFrame([("a", 0, [], False), ("a", 1, [], True), ("b", 1, [], True), ("c", 0, [], False)], C.CHUNK)
+    chunks = spark.createDataFrame([("a", 0, False), ("a", 1, True), ("b", 1, True), ("c", 0, False)], "capture_id string, seq long, is_last boolean")
     assert {r.capture_id: r.complete for r in C.is_complete(chunks).collect()} == {"a": True, "b": False, "c": False}

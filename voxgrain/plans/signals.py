@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import numeric as N
 from ..operators import blocks as B
+from ..operators.signal import htk_filters
+from ..session import folder
+from ..sources import replay
+from ..streaming import capture
 from .registry import _table, query
 
 #: Rows of a label that are numbered in one place.
@@ -119,6 +122,16 @@ def mel_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("clip_id").agg(F.count_if("is_real").cast("int").alias("frames"), F.count("*").alias("padded"), F.max(F.size("features")).alias("width"))
 
 
+#: ``sounds`` (clip, k, i, s), windows of 400 samples, to ``bands`` (clip, k, m, p): power under 80 triangles, by a transform of 512.
+_BANDS_SQL = """waves as (select b, i, cos(2 * pi() * b * (i + 56) / 512) as c, sin(2 * pi() * b * (i + 56) / 512) as d from (select unnest(range(257)) as b), (select unnest(range(400)) as i)),
+power as (select clip, k, b, sum(s * c) * sum(s * c) + sum(s * d) * sum(s * d) as p from sounds join waves using (i) group by clip, k, b),
+edges as (select m, 700 * (pow(10, m * (2595 * log10(1 + 8000 / 700.0::double)) / 81 / 2595) - 1) as hz from (select unnest(range(82)) as m)),
+bank as (
+  select e.m, b, greatest(0, least((b * 31.25 - e.hz) / (f.hz - e.hz), (g.hz - b * 31.25) / (g.hz - f.hz)))::float::double as w
+  from edges e join edges f on f.m = e.m + 1 join edges g on g.m = e.m + 2, (select unnest(range(257)) as b)),
+bands as (select clip, k, m, sum(p * w) as p from power join bank using (b) group by clip, k, m)"""
+
+
 @query(
     f"""with {_samples_sql()},
 size as (select clip, n, (n // 160 + 1) // 2 * 2 as frames from n where n > 256),
@@ -128,13 +141,8 @@ places as (
 sounds as (
   select q.clip, k, i, x.v * (0.5 - 0.5 * cos(2 * pi() * i / 400))::float as s
   from (select clip, k, i, case when p > last then 2 * last - p else p end as p from places) q join x on x.clip = q.clip and x.pos = q.p),
-waves as (select b, i, cos(2 * pi() * b * (i + 56) / 512) as c, sin(2 * pi() * b * (i + 56) / 512) as d from (select unnest(range(257)) as b), (select unnest(range(400)) as i)),
-power as (select clip, k, b, sum(s * c) * sum(s * c) + sum(s * d) * sum(s * d) as p from sounds join waves using (i) group by clip, k, b),
-edges as (select m, 700 * (pow(10, m * (2595 * log10(1 + 8000 / 700.0::double)) / 81 / 2595) - 1) as hz from (select unnest(range(82)) as m)),
-bank as (
-  select e.m, b, greatest(0, least((b * 31.25 - e.hz) / (f.hz - e.hz), (g.hz - b * 31.25) / (g.hz - f.hz)))::float::double as w
-  from edges e join edges f on f.m = e.m + 1 join edges g on g.m = e.m + 2, (select unnest(range(257)) as b)),
-mels as (select clip, k, m, log10(greatest(sum(p * w), 1e-10)) as mel from power join bank using (b) group by clip, k, m),
+{_BANDS_SQL},
+mels as (select clip, k, m, log10(greatest(p, 1e-10)) as mel from bands),
 clamped as (select clip, k, m, greatest(mel, max(mel) over (partition by clip) - 8) / 4 + 1 as mel from mels),
 paired as (
   select clip, k, m, mel, (coalesce(lead(mel) over c, mel) - coalesce(lag(mel) over c, mel)) / 2 as delta from clamped window c as (partition by clip, m order by k))
@@ -145,3 +153,87 @@ def band_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each column of the clips' features, bands and deltas of two frames, summed over the clip."""
     rows = B.stacked(clip_blocks(spark, sf_dir)).select("clip_id", F.posexplode("features").alias("place", "value"))
     return rows.groupBy("clip_id", "place").agg(F.round(F.sum(F.col("value").cast("double")), 4).alias("total"))
+
+
+# Live captures
+
+#: When the first chunk came, in milliseconds since 1970; a stream's watermark begins there, and what is not behind it is late.
+_BEGAN = 1_700_000_000_000
+
+
+def _live(spark: SparkSession, sf_dir: str, name: str, step) -> DataFrame:
+    """What ``step`` makes of the clips as captures, replayed from a recording that grows by its second half after the query has stopped; it goes on from its checkpoint."""
+    own, place = capture.stream_session(spark), folder(spark, name)
+    replay.register(own)
+    rows = _table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("capture_id"), "vec_id", "embedding")
+    ends = rows.groupBy(F.col("capture_id").alias("of")).agg(F.max("vec_id").alias("end"))
+    chunks = in_turn(rows, "capture_id", "vec_id").join(ends, F.col("capture_id") == F.col("of")).select(
+        "capture_id", F.col("nth").alias("seq"), F.timestamp_millis(F.col("vec_id") * 10 + _BEGAN).alias("at"), F.col("embedding").alias("samples"), (F.col("vec_id") == F.col("end")).alias("is_last"), "vec_id"
+    )
+    half = rows.agg(F.avg("vec_id")).first()[0] or 0
+    for part in (F.col("vec_id") <= half, F.col("vec_id") > half):
+        replay.record(chunks.filter(part), f"{place}/in")
+        found = step(own.readStream.format("capture_replay").option("path", f"{place}/in").load().withWatermark("at", "1 hour"))
+        query = found.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{place}/out")
+
+
+@query("select label::varchar as capture_id, count(*)::bigint as chunks, count(distinct vec_id)::bigint as last, round(sum(list_sum(list_transform(embedding, lambda v: v::double))), 5) as total from embeddings group by label")
+def replayed_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks as they come out of a replay that was stopped half way."""
+    rows = _live(spark, sf_dir, "replayed", lambda stream: stream.select("capture_id", "seq", "samples"))
+    total = F.aggregate("samples", F.lit(0.0), lambda s, v: s + v.cast("double"))
+    return rows.groupBy("capture_id").agg(F.count("*").alias("chunks"), (F.max("seq") + 1).alias("last"), F.round(F.sum(total), 5).alias("total"))
+
+
+@query(f"with {_RESAMPLED_SQL} select clip::varchar as capture_id, pos, round(y, 5) as sample from y")
+def live_resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks resampled as they come."""
+    live = _live(spark, sf_dir, "resampled", lambda stream: capture.resampled(stream, 44_100))
+    return live.select("capture_id", F.col("place").alias("pos"), F.round(F.col("sample").cast("double"), 5).alias("sample"))
+
+
+_LOG_MEL_SQL = f"""
+{_samples_sql()},
+risen as (select clip, pos, v - case when pos > 0 then 0.97::float * lag(v) over (partition by clip order by pos) else 0::float end as v from x),
+places as (
+  select clip, n, k, i, abs(k * 160 - 256 + i) as p, n - 1 as last
+  from (select *, unnest(range(n // 160 + 1)) as k from n), (select unnest(range(400)) as i)),
+sounds as (
+  select q.clip, k, i, x.v * (0.5 - 0.5 * cos(2 * pi() * i / 400))::float as s
+  from (select clip, k, i, case when p > last then 2 * last - p else p end as p from places) q join risen x on x.clip = q.clip and x.pos = q.p),
+{_BANDS_SQL},
+mels as (select clip::varchar as capture_id, k, m, ln(p + pow(2, -24))::float::double as mel from bands)"""
+
+
+@query(f"with {_LOG_MEL_SQL} select capture_id, m as band, count(*)::bigint as n, round(sum(mel), 3) as total from mels group by capture_id, m")
+def live_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-mel frames of chunks as they come, each band summed over the capture."""
+    live = _live(spark, sf_dir, "spectra", lambda stream: capture.spectra(stream, htk_filters()))
+    rows = live.select("capture_id", F.posexplode("mel").alias("band", "mel"))
+    return rows.groupBy("capture_id", "band").agg(F.count("*").alias("n"), F.round(F.sum(F.col("mel").cast("double")), 3).alias("total"))
+
+
+@query(f"with {_LOG_MEL_SQL} select clip_id, frame, round(sum(mel), 4) as total, arg_max(m, mel) as loudest from (select capture_id::int as clip_id, k as frame, m, mel from mels) group by clip_id, frame")
+def log_mels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each log-mel frame of the clips: its sum and its loudest band."""
+    rows = B.log_mels(clip_blocks(spark, sf_dir), htk_filters()).select("clip_id", "frame", F.posexplode("mel").alias("band", "mel"))
+    return rows.groupBy("clip_id", "frame").agg(F.round(F.sum(F.col("mel").cast("double")), 4).alias("total"), F.max_by("band", "mel").cast("long").alias("loudest"))
+
+
+def _loudest(frames, chunks: int | None):
+    """The band that is loudest over a chunk and its context, and which chunk it is."""
+    return [1000 * (chunks or 0) + int(frames.sum(0, dtype=float).argmax())], (chunks or 0) + 1
+
+
+@query(
+    f"""with {_LOG_MEL_SQL},
+chunks as (select capture_id, c, m, sum(mel) as mel from mels join (select unnest(range(10000)) as c) on k >= c * 8 - 2 and k < c * 8 + 8 group by capture_id, c, m),
+ends as (select capture_id, max(k) // 8 as last from mels group by capture_id)
+select capture_id, c as chunk, (1000 * c + arg_max(m, mel))::int as id from chunks join ends using (capture_id) where c <= last group by capture_id, c"""
+)
+def live_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of 8 frames behind 2 of context, decoded with carried state as they come."""
+    live = _live(spark, sf_dir, "decoded", lambda stream: capture.decoded(stream, htk_filters(), _loudest, 8, 2))
+    return live.select("capture_id", F.col("place").alias("chunk"), "id")

@@ -1,27 +1,20 @@
-"""More queries: round trips through sources and sinks, settings of models and captures, and passes that SQL can express by marks."""
+"""More queries: round trips through sources and sinks, settings of models and captures."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import numeric as N
 from ..functions import text as T
-from ..operators import catalog, corpus, decode, signal, vocabulary
-from ..session import scratch_dir
-from ..sources import audio, documents
+from ..operators import catalog, corpus, decode, vocabulary
+from ..session import folder as new_folder
+from ..sources import audio, documents, sinks
 from ..streaming import capture
 from .registry import QUERIES, _clips, _table, _tokens, _tokens_sql, _turns, query
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder that the driver and all executors share."""
-    return f"{scratch_dir(spark)}/voxgrain/{name}-{uuid.uuid4().hex}"
-
-
 # Settings
 
 
@@ -75,52 +68,6 @@ def complete_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capture.is_complete(rows.filter(F.col("event_id") % 50 != 0).select(F.col("user_id").cast("string").alias("capture_id"), "seq", "is_last"))
 
 
-def _run(spark: SparkSession, sf_dir: str, name: str, step) -> DataFrame:
-    """What ``step`` makes of each label's embeddings as a stream of chunks, written by the stream and read back."""
-    folder = _folder(spark, name)
-    order = Window.partitionBy("label").orderBy("vec_id")
-    rows = _table(spark, sf_dir, "embeddings").withColumn("seq", F.row_number().over(order) - 1).withColumn("is_last", F.lead("vec_id").over(order).isNull())
-    chunks = rows.select(F.col("label").cast("string").alias("capture_id"), F.col("seq").cast("long").alias("seq"), F.col("embedding").alias("samples"), "is_last")
-    chunks.write.parquet(f"{folder}/in")
-    found = step(spark.readStream.schema(capture.CHUNK).parquet(f"{folder}/in"))
-    # Timeouts by the clock ask for one more batch without data for ever; a run over what is there must end.
-    idle = "spark.sql.streaming.noDataMicroBatches.enabled"
-    was = spark.conf.get(idle)
-    spark.conf.set(idle, "false")
-    try:
-        found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    finally:
-        spark.conf.set(idle, was)
-    return spark.read.schema(found.schema).parquet(f"{folder}/out")
-
-
-_LENGTHS = "with c as (select label::varchar as capture_id, sum(len(embedding))::bigint as n from embeddings group by label)"
-
-
-@query(f"{_LENGTHS} select capture_id, floor(n / 2.75625::double)::bigint as n, 0.0::double as gap from c")
-def live_resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks resampled as they come, and how far that is from resampling whole clips."""
-    live = _run(spark, sf_dir, "resampled", lambda stream: capture.resampled(stream, 44_100))
-    clips = _clips(spark, sf_dir, 44_100).select(F.col("clip_id").cast("string").alias("of"), signal.resample(F.col("samples"), F.col("rate")).alias("y"))
-    whole = clips.select("of", F.posexplode("y").alias("place", "value"))
-    both = live.join(whole, (F.col("capture_id") == F.col("of")) & (F.col("at") == F.col("place")), "full")
-    gap = F.max(F.coalesce(F.abs(F.col("sample") - F.col("value")), F.lit(1.0)))
-    return both.groupBy(F.coalesce("capture_id", "of").alias("capture_id")).agg(F.count("*").alias("n"), F.round(gap, 5).cast("double").alias("gap"))
-
-
-@query(f"{_LENGTHS} select capture_id, n // 160 + 1 as n, 80 as bands from c")
-def live_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    live = _run(spark, sf_dir, "spectra", lambda stream: capture.spectra(stream, signal.htk_filters()))
-    return live.groupBy("capture_id").agg(F.count("*").alias("n"), F.min(F.size("mel")).alias("bands"))
-
-
-@query(f"{_LENGTHS} select capture_id, (n // 160 + 56) // 56 as chunks, n // 160 + 1 + 9 * ((n // 160 + 56) // 56) as frames from c")
-def live_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spectra decoded in chunks of 56 frames behind 9 of context by a decoder that gives the number of frames it sees."""
-    live = _run(spark, sf_dir, "decoded", lambda stream: capture.decoded(stream, signal.htk_filters(), lambda frames, state: ([len(frames)], state)))
-    return live.groupBy("capture_id").agg(F.count("*").alias("chunks"), F.sum("id").alias("frames"))
-
-
 @query(
     """select vec_id, (len(embedding) + 1) // 2 as n, round(list_sum(list_transform(range(1, len(embedding) + 1, 2), lambda i: (floor(embedding[i]::double * 32767) / 32767.0)::float::double)), 5) as total
 from embeddings"""
@@ -138,9 +85,9 @@ select label::varchar as clip, 16000 as rate, 1 as channels, n, round(total, 3)
 )
 def wav_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clips written as WAV files and read back, with their lengths from the headers."""
-    folder = _folder(spark, "wav")
+    folder = new_folder(spark, "wav")
     clips = _clips(spark, sf_dir, 16_000).select(F.col("clip_id").cast("string").alias("stamp"), "rate", "samples")
-    audio.write_wav(clips, folder).write.format("noop").mode("overwrite").save()
+    sinks.write_wav(clips, folder)
     stem = lambda c: F.regexp_extract(c, r"([^/]*)\.wav\z", 1)
     read = audio.read_wav(spark, folder).select(stem("path").alias("clip"), "rate", "channels", F.size("samples").cast("long").alias("n"), F.aggregate("samples", F.lit(0.0), lambda s, v: s + v.cast("double")).alias("total"))
     lengths = audio.wav_seconds(spark, folder).select(stem("path").alias("clip"), F.round("seconds", 6).alias("seconds"))
@@ -166,7 +113,7 @@ def recurrent_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def score_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word scores written as tables and read back; the word carries its user."""
-    folder = _folder(spark, "scores")
+    folder = new_folder(spark, "scores")
     scores = decode.word_margins(_tokens(spark, sf_dir, "▁"), "user_id")
     documents.write_scores(scores.withColumn("word", F.concat_ws("|", F.col("user_id").cast("string"), "word")), folder)
     word = F.split("word", r"\|", 2)
@@ -175,7 +122,7 @@ def score_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select floor(epoch(ts))::bigint as ts, event_type as level, 'phase ' || (user_id % 3) as phase, event_id || ' ' || props as message from events")
 def log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = _folder(spark, "log")
+    folder = new_folder(spark, "log")
     message = F.concat_ws(" ", F.col("event_id").cast("string"), "props")
     line = documents.log_line(F.col("ts").cast("timestamp"), F.col("event_type"), F.concat(F.lit("phase "), (F.col("user_id") % 3).cast("string")), message)
     _table(spark, sf_dir, "events").select(line.alias("value")).write.text(folder)
@@ -188,7 +135,7 @@ def log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def banked_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as entries keyed by their stamp, written by day of recording and read back."""
-    folder = _folder(spark, "entries")
+    folder = new_folder(spark, "entries")
     rows = _turns(spark, sf_dir).select(F.col("conv_id").cast("string").alias("engine"), F.timestamp_seconds(F.lit(1788696000) + F.col("turn") * 24000).alias("at"), F.col("text").alias("raw"))
     corpus.write_entries(corpus.bank(rows).drop("at"), folder)
     found = spark.read.schema("engine string, recorded string, raw string, day string").json(folder)
@@ -199,7 +146,7 @@ def banked_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """select '2026-09-06T12:00:00.000Z' as at, 's' || event_id as stem, event_type as source, round((value / 100)::varchar::decimal(38, 28), 3)::double as difference from events where value is not null"""
 )
 def match_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = _folder(spark, "matches")
+    folder = new_folder(spark, "matches")
     rows = _table(spark, sf_dir, "events").filter(F.col("value").isNotNull())
     rows = rows.select(F.concat(F.lit("s"), F.col("event_id").cast("string")).alias("stem"), F.col("event_type").alias("source"), (F.col("value") / 100).alias("difference"))
     corpus.append_match_log(rows, F.timestamp_seconds(F.lit(1788696000)), folder)
@@ -208,7 +155,7 @@ def match_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select n_nationkey::int as id, ' ' || lower(n_name) as piece, n_nationkey = 5 as is_blank from nation")
 def vocabulary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = _folder(spark, "vocabulary")
+    folder = new_folder(spark, "vocabulary")
     line = F.concat(F.lit(T.WORD_PIECE_MARK), F.lower("n_name"), F.lit(" "), F.col("n_nationkey").cast("string"))
     _table(spark, sf_dir, "nation").select(line.alias("value")).write.text(folder)
     return documents.read_vocabulary(spark, folder, blank=5)
@@ -217,7 +164,7 @@ def vocabulary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select (row_number() over (order by n_nationkey) - 1)::bigint as nth, n_name as term from nation")
 def term_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms one a line, between comments and blank lines, in order."""
-    folder = _folder(spark, "terms")
+    folder = new_folder(spark, "terms")
     lines = F.concat(F.when(F.col("n_nationkey") % 3 == 0, "# comment\n\n").otherwise(""), F.lit("  "), "n_name", F.lit(" "))
     _table(spark, sf_dir, "nation").orderBy("n_nationkey").coalesce(1).select(lines.alias("value")).write.text(folder)
     terms = vocabulary.read_terms(spark, folder)

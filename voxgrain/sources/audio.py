@@ -1,10 +1,9 @@
-"""WAV files as a Spark data source and sink, and their lengths from headers alone."""
+"""WAV files: their samples, and their lengths from headers alone. The sink is in ``sinks``."""
 
 from __future__ import annotations
 
 import re
 import struct
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -115,25 +114,3 @@ def live_samples(values: Column, kind: str, channels: int) -> Column:
     """Samples of a capture device: the first channel alone, 16-bit numbers over 32767."""
     first = F.filter(values, lambda _, i: i % channels == 0)
     return F.transform(first, lambda v: v.cast("float") if kind == "f32" else (v / F.lit(32767.0)).cast("float"))
-
-
-def write_wav(clips: DataFrame, folder: str, name: str = "stamp") -> DataFrame:
-    """Writes ``clips`` (name, rate, samples) as ``<name>.wav`` to a folder of any file system that pyarrow knows.
-
-    Each file appears whole: it is written beside its place and renamed, so a repeated task does no harm. Returns path and bytes.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        system, top = file_system(folder)
-        system.create_dir(top, recursive=True)
-        for b in batches:
-            out = []
-            for stem, rate, samples in zip(b[name], b["rate"], b["samples"]):
-                content, path, beside = wav_bytes(samples, int(rate)), f"{top}/{stem}.wav", f"{top}/.{stem}.{uuid.uuid4().hex}"
-                with system.open_output_stream(beside) as sink:
-                    sink.write(content)
-                system.move(beside, path)
-                out.append((path, len(content)))
-            yield pd.DataFrame(out, columns=["path", "n_bytes"])
-
-    return clips.select(name, "rate", "samples").mapInPandas(run, "path string, n_bytes long")

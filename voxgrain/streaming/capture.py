@@ -1,8 +1,11 @@
 """Live captures as streams: resampling, spectra and chunk decoding with state carried from batch to batch, equal to the batch forms.
 
-Rows are (capture_id, seq, samples, is_last). A stream has no end of its own, so the last row of a capture says so. Rows of one
-capture are taken in the order of ``seq``, whatever order they arrive in: rows ahead of their turn wait in the state.
-State that sees no row for ``idle`` is dropped after its capture is finished as if it had ended.
+Rows are (capture_id, seq, at, samples, is_last); ``at`` is when a chunk came, with a watermark on it. A stream has no end of its own, so the last row of
+a capture says so. Chunks are taken in the order of ``seq``, whatever order they arrive in. Each capture has three state variables: its place, the samples that
+outputs to come still read, and a map of the chunks ahead of their turn. So a batch rewrites little, and a chunk that waits is written once.
+
+A capture of which no chunk has come for ``idle_ms``, by the watermark, is finished as if it had ended where the chunks in turn end; chunks behind a gap go with it.
+Chunks that come again are passed over, empty ones and null samples are taken, and an idle capture of which no chunk was in turn gives nothing. Queries need the state store of ``stream_session``.
 """
 
 from __future__ import annotations
@@ -12,207 +15,180 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.window import Window
 
-from ..operators.signal import FFT, HOP, LOG_GUARD, WINDOW, hann, polyphase, preemphasised
+from ..operators.blocks import Kernel, LogMel, Resampling
+from ..sources.replay import CHUNK  # noqa: F401  the columns of a stream of chunks
 
-CHUNK = "capture_id string, seq long, samples array<float>, is_last boolean"
 IDLE_MS = 60_000
+_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class StreamingResampler:
-    """Gives every output sample as soon as all the input under its kernel is there; ``finish`` gives the rest."""
-
-    def __init__(self, source: int, target: int = 16_000):
-        self.bank = None if source == target else polyphase(source, target)
-        self.held = np.empty(0)
-        self.start = self.done = self.total = 0
-
-    def push(self, x) -> np.ndarray:
-        x = np.asarray(x, np.float32)
-        self.total += len(x)
-        if self.bank is None:
-            return x
-        self.held = np.concatenate([self.held, x])
-        covered = self.start + len(self.held)
-        # The last output whose kernel ends inside what is held.
-        upto = self.done
-        guess = max(upto, int((covered - self.bank.half) / self.bank.step) - 2)
-        while np.floor(guess * self.bank.step) + self.bank.half < covered:
-            guess += 1
-        while guess > upto and np.floor((guess - 1) * self.bank.step) + self.bank.half >= covered:
-            guess -= 1
-        return self._give(max(guess, upto))
+def stream_session(spark: SparkSession) -> SparkSession:
+    """A session of its own for streams with state variables, which need a state store that holds several of them."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", _STORE)
+    return own
 
-    def finish(self) -> np.ndarray:
-        if self.bank is None:
-            return np.empty(0, np.float32)
-        return self._give(max(self.done, self.bank.length(self.total)))
 
-    def _give(self, upto: int) -> np.ndarray:
-        out = self.bank.at(self.done, upto, self.held, self.start)
-        self.done = upto
-        oldest = int(np.floor(self.done * self.bank.step)) - self.bank.half + 1
-        drop = min(max(oldest - self.start, 0), len(self.held))
-        self.held, self.start = self.held[drop:], self.start + drop
-        return out
+class Flow:
+    """A kernel over a signal that arrives bit by bit: gives the outputs that the samples so far determine, and holds what later ones read."""
 
+    state_type = "start long, end long, done long, held array<float>"
 
-class StreamingSpectra:
-    """Log-mel frames of a capture at 16 kHz, each as soon as its window is there; ``finish`` gives those that need the mirrored end."""
+    def __init__(self, kernel: Kernel, state: tuple = (0, 0, 0, ())):
+        self.kernel = kernel
+        self.start, self.end, self.done = state[:3]
+        self.held = np.asarray(state[3], np.float32)
 
-    def __init__(self, filters: np.ndarray):
-        self.filters = filters
-        self.signal = np.empty(0, np.float32)
-        self.start = self.frame = self.total = 0
-        self.before: float | None = None
+    def state(self) -> tuple:
+        return self.start, self.end, self.done, self.held.tolist()
 
     def push(self, x) -> np.ndarray:
         x = np.asarray(x, np.float32)
-        if len(x):
-            self.signal = np.concatenate([self.signal, preemphasised(x, self.before)])
-            self.before, self.total = float(x[-1]), self.total + len(x)
-        first = self.frame
-        while self._reach(self.frame) <= self.total:
-            self.frame += 1
-        out = self._render(first, self.frame, False)
-        oldest = max(self.frame * HOP - FFT // 2, 0)
-        drop = min(max(oldest - self.start, 0), len(self.signal))
-        self.signal, self.start = self.signal[drop:], self.start + drop
-        return out
+        self.held, self.end = np.concatenate([self.held, x]), self.end + len(x)
+        return self._give(self.kernel.count(self.end), None)
 
     def finish(self) -> np.ndarray:
-        first, self.frame = self.frame, max(self.frame, self.total // HOP + 1)
-        return self._render(first, self.frame, True)
-
-    @staticmethod
-    def _reach(frame: int) -> int:
-        """Samples that a frame needs: up to its right edge, and near the start as far as the mirror reads."""
-        at = frame * HOP
-        mirror = FFT // 2 - at
-        return max(at + WINDOW - FFT // 2, mirror + 1 if mirror > 0 else 0)
-
-    def _render(self, first: int, last: int, ended: bool) -> np.ndarray:
-        if last <= first:
-            return np.empty((0, len(self.filters)), np.float32)
-        index = np.arange(first, last)[:, None] * HOP + np.arange(WINDOW) - FFT // 2
-        index = np.where(index < 0, -index, index)
-        if ended:
-            index = np.where(index >= self.total, 2 * (self.total - 1) - index, index)
-        local = index - self.start
-        inside = (index >= 0) & (index < self.total) & (local >= 0) & (local < len(self.signal))
-        windows = np.zeros((last - first, FFT), np.float32)
-        side = (FFT - WINDOW) // 2
-        values = self.signal[np.clip(local, 0, max(len(self.signal) - 1, 0))] if len(self.signal) else np.zeros(local.shape, np.float32)
-        windows[:, side : side + WINDOW] = np.where(inside, values, 0) * hann()
-        power = np.abs(np.fft.rfft(windows, axis=1)).astype(np.float32) ** 2
-        return np.log(power @ self.filters.T + np.float32(LOG_GUARD))
+        return self._give(self.kernel.total(self.end), self.end)
 
+    def _give(self, upto: int, n: int | None) -> np.ndarray:
+        upto = max(upto, self.done)
+        out = self.kernel.run(self.done, upto, self.held, self.start, n)
+        self.done = upto
+        unread = min(self.kernel.first(upto), self.end)
+        self.held, self.start = self.held[max(0, unread - self.start) :], max(self.start, unread)
+        return out
 
-class StreamingDecoder:
-    """Gathers frames into chunks, each behind the tail of the one before (zeros before the first), and decodes them with carried state.
-
-    ``decode``: (chunk with context, state) -> (ids, state); the state begins as None.
-    """
 
-    def __init__(self, decode: Callable, bands: int, chunk: int = 56, context: int = 9):
-        self.decode, self.chunk, self.context = decode, chunk, context
-        self.pending = np.empty((0, bands), np.float32)
-        self.tail = np.zeros((context, bands), np.float32)
-        self.state, self.ids, self.chunks = None, [], 0
+class DecodeFlow:
+    """Frames of a flow gathered into chunks, each behind the tail of the one before (zeros before the first), and decoded with carried state.
 
-    def push(self, frames: np.ndarray) -> list[int]:
-        self.pending = np.concatenate([self.pending, frames])
-        new = []
-        while len(self.pending) >= self.chunk:
-            new += self._chunk(self.chunk)
-        return new
+    ``decode``: (chunk with context, cache) -> (ids, cache); the cache begins as None and is the decoder's own.
+    """
 
-    def finish(self) -> list[int]:
-        return self._chunk(len(self.pending)) if len(self.pending) else []
-
-    def _chunk(self, n: int) -> list[int]:
-        frames, self.pending = self.pending[:n], self.pending[n:]
-        found, self.state = self.decode(np.concatenate([self.tail, frames]), self.state)
-        kept = frames[-self.context :]
-        self.tail = np.concatenate([np.zeros((self.context - len(kept), frames.shape[1]), np.float32), kept])
-        self.ids += found
-        self.chunks += 1
-        return list(found)
+    state_type = Flow.state_type + ", pending array<float>, tail array<float>, cache binary"
 
+    def __init__(self, kernel: Kernel, decode: Callable, bands: int, chunk: int = 56, context: int = 9, state: tuple | None = None):
+        self.frames = Flow(kernel, state[:4]) if state else Flow(kernel)
+        self.decode, self.bands, self.chunk, self.context = decode, bands, chunk, context
+        pending, tail, cache = state[4:] if state else ((), np.zeros(context * bands), None)
+        self.pending, self.tail = np.asarray(pending, np.float32).reshape(-1, bands), np.asarray(tail, np.float32).reshape(-1, bands)
+        self.cache = pickle.loads(cache) if cache else None
 
-class _InOrder:
-    """A processor fed in the order of ``seq``; chunks ahead of their turn wait."""
+    def state(self) -> tuple:
+        return *self.frames.state(), self.pending.ravel().tolist(), self.tail.ravel().tolist(), pickle.dumps(self.cache)
 
-    def __init__(self, processor):
-        self.processor, self.next, self.waiting, self.given, self.ended = processor, 0, {}, 0, False
+    def push(self, x) -> list[int]:
+        return self.gather(self.frames.push(x))
 
-    def feed(self, rows: pd.DataFrame) -> Iterator[np.ndarray]:
-        for seq, samples, last in zip(rows["seq"], rows["samples"], rows["is_last"]):
-            self.waiting[int(seq)] = (np.asarray([] if samples is None else samples, np.float32), bool(last))
-        while not self.ended and self.next in self.waiting:
-            samples, last = self.waiting.pop(self.next)
-            self.next += 1
-            yield self.processor.push(samples)
-            if last:
-                yield self.end()
+    def finish(self) -> list[int]:
+        found = self.gather(self.frames.finish())
+        return found + self._decode(len(self.pending)) if len(self.pending) else found
 
-    def end(self) -> np.ndarray:
-        self.ended = True
-        return self.processor.finish()
+    def gather(self, frames: np.ndarray) -> list[int]:
+        self.pending, found = np.concatenate([self.pending, np.asarray(frames, np.float32)]), []
+        while len(self.pending) >= self.chunk:
+            found += self._decode(self.chunk)
+        return found
 
+    def _decode(self, n: int) -> list[int]:
+        seen, self.pending = np.concatenate([self.tail, self.pending[:n]]), self.pending[n:]
+        found, self.cache = self.decode(seen, self.cache)
+        self.tail = seen[len(seen) - self.context :]
+        return list(found)
 
-def _run(stream: DataFrame, make: Callable, out: str, row: Callable, idle_ms: int) -> DataFrame:
-    schema = f"capture_id string, at long, {out}"
 
-    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        flow = pickle.loads(state.get[0]) if state.exists else _InOrder(make())
-        if state.hasTimedOut:
-            parts = [flow.end()]
-        else:
-            parts = [p for b in batches for p in flow.feed(b)]
+class _Captures(StatefulProcessor):
+    def __init__(self, make: Callable, state_type: str, row: Callable, idle_ms: int):
+        self.make, self.state_type, self.row, self.idle_ms = make, state_type, row, idle_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.place = handle.getValueState("place", "next long, given long, due long")
+        self.flow = handle.getValueState("flow", self.state_type)
+        self.waiting = handle.getMapState("waiting", "seq long", "samples array<float>, is_last boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        turn, given, due = self.place.get() if self.place.exists() else (0, 0, -1)
+        flow = self.make(self.flow.get()) if self.flow.exists() else self.make(None)
+        new, latest = {}, -1
+        for b in rows:
+            for seq, at, samples, last in zip(b["seq"], b["at"], b["samples"], b["is_last"]):
+                latest = max(latest, int(at.timestamp() * 1000))
+                if seq >= turn:
+                    new[int(seq)] = ([] if samples is None else samples, bool(last))
+        parts, ended, held = [], False, self.waiting.exists()
+        while not ended:
+            if turn in new:
+                samples, ended = new.pop(turn)
+            elif held and self.waiting.containsKey((turn,)):
+                samples, ended = self.waiting.getValue((turn,))
+                self.waiting.removeKey((turn,))
+            else:
+                break
+            parts.append(flow.push(samples))
+            turn += 1
+        if ended:
+            parts.append(flow.finish())
+        yield from self._rows(key, given, parts)
+        if due >= 0:
+            self.handle.deleteTimer(due)
+        if ended:
+            self._forget()
+            return
+        for seq, (samples, last) in new.items():
+            self.waiting.updateValue((seq,), (np.asarray(samples, np.float32).tolist(), last))
+        due = max(due, latest + self.idle_ms)
+        self.handle.registerTimer(due)
+        self.place.update((turn, given + sum(map(len, parts)), due))
+        self.flow.update(flow.state())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        turn, given, _ = self.place.get()
+        if turn:
+            yield from self._rows(key, given, [self.make(self.flow.get()).finish()])
+        self._forget()
+
+    def _rows(self, key, given: int, parts: list) -> Iterator[pd.DataFrame]:
         for part in parts:
             if len(part):
-                yield pd.DataFrame({"capture_id": key[0], "at": flow.given + np.arange(len(part)), **row(part)})
-                flow.given += len(part)
-        if flow.ended:
-            state.remove()
-        else:
-            state.update((pickle.dumps(flow),))
-            state.setTimeoutDuration(idle_ms)
+                yield pd.DataFrame({"capture_id": key[0], "place": given + np.arange(len(part)), **self.row(part)})
+                given += len(part)
 
-    return stream.groupBy("capture_id").applyInPandasWithState(step, schema, "flow binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    def _forget(self) -> None:
+        self.place.clear()
+        self.flow.clear()
+        self.waiting.clear()
 
+    def close(self) -> None:
+        pass
 
-def resampled(stream: DataFrame, source: int, target: int = 16_000, idle_ms: int = IDLE_MS) -> DataFrame:
-    """capture_id, at, sample: the samples of a stream of chunks at another rate, equal to resampling each whole capture."""
-    return _run(stream, lambda: StreamingResampler(source, target), "sample float", lambda p: {"sample": p}, idle_ms)
-
-
-def spectra(stream: DataFrame, filters: np.ndarray, idle_ms: int = IDLE_MS) -> DataFrame:
-    """capture_id, at, mel: the log-mel frames of a stream of chunks at 16 kHz."""
-    return _run(stream, lambda: StreamingSpectra(filters), "mel array<float>", lambda p: {"mel": list(p)}, idle_ms)
 
+def _run(stream: DataFrame, make: Callable, state_type: str, out: str, row: Callable, idle_ms: int) -> DataFrame:
+    captures = stream.select("capture_id", "seq", "at", "samples", "is_last").groupBy("capture_id")
+    return captures.transformWithStateInPandas(_Captures(make, state_type, row, idle_ms), f"capture_id string, place long, {out}", "append", "eventTime")
 
-class _Decoded:
-    """Spectra and decoding behind each other."""
 
-    def __init__(self, filters: np.ndarray, decoder: StreamingDecoder):
-        self.spectra, self.decoder = StreamingSpectra(filters), decoder
+def resampled(stream: DataFrame, source: int, target: int = 16_000, idle_ms: int = IDLE_MS) -> DataFrame:
+    """capture_id, place, sample: the samples of a stream of chunks at another rate, equal to resampling each whole capture."""
+    kernel = Resampling(source, target)
+    return _run(stream, lambda state: Flow(kernel, state) if state else Flow(kernel), Flow.state_type, "sample float", lambda p: {"sample": p}, idle_ms)
 
-    def push(self, x) -> list[int]:
-        return self.decoder.push(self.spectra.push(x))
 
-    def finish(self) -> list[int]:
-        return self.decoder.push(self.spectra.finish()) + self.decoder.finish()
+def spectra(stream: DataFrame, filters: np.ndarray, idle_ms: int = IDLE_MS) -> DataFrame:
+    """capture_id, place, mel: the log-mel frames of a stream of chunks at 16 kHz."""
+    kernel = LogMel(filters)
+    return _run(stream, lambda state: Flow(kernel, state) if state else Flow(kernel), Flow.state_type, "mel array<float>", lambda p: {"mel": list(p)}, idle_ms)
 
 
 def decoded(stream: DataFrame, filters: np.ndarray, decode: Callable, chunk: int = 56, context: int = 9, idle_ms: int = IDLE_MS) -> DataFrame:
-    """capture_id, at, id: what a decoder with carried state makes of a stream of chunks at 16 kHz."""
-    return _run(stream, lambda: _Decoded(filters, StreamingDecoder(decode, len(filters), chunk, context)), "id int", lambda p: {"id": np.array(p, "int32")}, idle_ms)
+    """capture_id, place, id: what a decoder with carried state makes of a stream of chunks at 16 kHz."""
+    kernel, bands = LogMel(filters), len(filters)
+    return _run(stream, lambda state: DecodeFlow(kernel, decode, bands, chunk, context, state), DecodeFlow.state_type, "id int", lambda p: {"id": np.array(p, "int32")}, idle_ms)
 
 
 def idle_sessions(events: DataFrame, ts: str, *by: str, gap: str = "60 seconds") -> DataFrame:
