@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 from itertools import accumulate, chain, pairwise
@@ -105,13 +106,8 @@ def _next_row(above: np.ndarray, i: int, word: int, y: np.ndarray) -> np.ndarray
     return np.minimum.accumulate(np.concatenate([[i], best - across])) + np.arange(len(above))
 
 
-def align(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Which words of each side an optimal alignment matches; going back, equal words come before changes, then drops, then insertions.
-
-    One row of the table in about sqrt(n) is kept; the rows between two of them are made again on the way back.
-    """
-    code = {w: i for i, w in enumerate(dict.fromkeys([*a, *b]))}
-    x, y = np.array([code[w] for w in a], int), np.array([code[w] for w in b], int)
+def _by_rows(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``align`` for words far from each other: the whole table, of which one row in about sqrt(n) is kept; the others are made again on the way back."""
     stride, row, kept = max(1, isqrt(len(x))), np.arange(len(y) + 1), []
     for i, word in enumerate(x):
         if i % stride == 0:
@@ -133,6 +129,76 @@ def align(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return of_a, of_b
 
 
+#: A band of more diagonals than this on either side, or than this share of the words, is left for the whole table.
+_BAND, _BAND_SHARE = 2000, 8
+
+
+def _slide(x: np.ndarray, y: np.ndarray, at: np.ndarray, diagonals: np.ndarray) -> np.ndarray:
+    """From these words of ``x``, each on its diagonal (place in ``y`` minus place in ``x``), past all equal words."""
+    at, moving, step = at.copy(), np.arange(len(at)), 8
+    while len(moving):
+        i = at[moving, None] + np.arange(step)
+        j = i + diagonals[moving, None]
+        same = (i < len(x)) & (j < len(y)) & (i >= 0) & (j >= 0)
+        same &= np.where(same, x[np.minimum(i, len(x) - 1)] == y[np.clip(j, 0, len(y) - 1)], False)
+        run = np.where(same.all(1), step, np.argmin(same, 1))
+        at[moving] += run
+        moving, step = moving[run == step], min(2 * step, 1024)
+    return at
+
+
+def _furthest(x: np.ndarray, y: np.ndarray, most: int) -> list[np.ndarray] | None:
+    """For each cost e from 0 to the distance: how far in ``x`` the diagonals from -e to e can be followed. None if the distance is above ``most``."""
+    n, m = len(x), len(y)
+    rows: list[np.ndarray] = []
+    for e in range(most + 1):
+        diagonals = np.arange(-e, e + 1)
+        if e:
+            low = np.full(2, -1 << 40)
+            before = np.concatenate([low, rows[-1], low])  # diagonals -e - 1 to e + 1
+            at = np.maximum(np.maximum(before[1:-1] + 1, before[:-2]), before[2:] + 1)
+        else:
+            at = np.zeros(1, int)
+        at = np.minimum(at, np.minimum(n, m - diagonals))
+        rows.append(_slide(x, y, at, diagonals) if n and m else at)
+        if abs(m - n) <= e and rows[-1][m - n + e] >= n:
+            return rows
+    return None
+
+
+def _by_diagonals(x: np.ndarray, y: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """``align`` within the band that holds every optimal alignment: one step back for each change, and the equal words in between."""
+    of_a, of_b = np.zeros(len(x), bool), np.zeros(len(y), bool)
+    i, j = len(x), len(y)
+    for e in range(len(rows) - 1, -1, -1):
+        while i and j and x[i - 1] == y[j - 1]:
+            i, j = i - 1, j - 1
+            of_a[i] = of_b[j] = True
+        if not e:
+            break
+        reach = lambda diagonal: rows[e - 1][diagonal + e - 1] if abs(diagonal) < e else -1  # noqa: E731, B023
+        if i and j and reach(j - i) >= i - 1:
+            i, j = i - 1, j - 1
+        elif i and reach(j - i + 1) >= i - 1:
+            i -= 1
+        else:
+            j -= 1
+    return of_a, of_b
+
+
+def align(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Which words of each side an optimal alignment matches; going back, equal words come before changes, then drops, then insertions.
+
+    Alignments of cost d never leave the d diagonals on either side of the first, so the search widens cost by cost until one reaches the end: what it
+    has found by then holds every optimal alignment. That takes about n + d * d steps. Words too far apart for it take the whole table.
+    """
+    code = {w: i for i, w in enumerate(dict.fromkeys([*a, *b]))}
+    x, y = np.array([code[w] for w in a], int), np.array([code[w] for w in b], int)
+    most = min(_BAND, max(len(x), len(y)) // _BAND_SHARE + 1)
+    rows = _furthest(x, y, most) if abs(len(x) - len(y)) <= most else None
+    return _by_rows(x, y) if rows is None else _by_diagonals(x, y, rows)
+
+
 _MATCHED = StructType([StructField("of_a", ArrayType(BooleanType())), StructField("of_b", ArrayType(BooleanType()))])
 
 
@@ -175,14 +241,97 @@ def differing_spans(a: Column, b: Column, k: int = 5, most: int | None = None, b
     return found if most is None else F.slice(found, 1, most)
 
 
+#: From so many words on, a word of the second text begins no block if it stands there more often than once in this many words, and once more.
+_LONG, _POPULAR = 200, 100
+
+
+class _Runs:
+    """A suffix automaton of the words ``y[low:high]``, those of ``skipped`` standing for themselves only: where runs of words first end."""
+
+    def __init__(self, y: list[int], low: int, high: int, skipped: set[int]):
+        self.next: list[dict[int, int]] = [{}]
+        self.link, self.length, self.first = [-1], [0], [-1]
+        last = 0
+        for at in range(low, high):
+            word = -1 - at if y[at] in skipped else y[at]
+            new = self._state(self.length[last] + 1, at, {})
+            while last >= 0 and word not in self.next[last]:
+                self.next[last][word] = new
+                last = self.link[last]
+            if last >= 0:
+                to = self.next[last][word]
+                if self.length[to] != self.length[last] + 1:  # a longer run ends there: what is shorter gets a state of its own
+                    copy = self._state(self.length[last] + 1, self.first[to], dict(self.next[to]))
+                    self.link[copy], self.link[to] = self.link[to], copy
+                    while last >= 0 and self.next[last].get(word) == to:
+                        self.next[last][word] = copy
+                        last = self.link[last]
+                    to = copy
+                self.link[new] = to
+            else:
+                self.link[new] = 0
+            last = new
+
+    def _state(self, length: int, first: int, following: dict[int, int]) -> int:
+        self.next.append(following)
+        self.link.append(0)
+        self.length.append(length)
+        self.first.append(first)
+        return len(self.next) - 1
+
+    def longest(self, x: list[int], low: int, high: int) -> tuple[int, int, int]:
+        """Start in ``x``, start in ``y`` and length of the longest common run; of equal ones the first in ``x``, then in ``y``."""
+        state = size = 0
+        best = (low, 0, 0)
+        for at in range(low, high):
+            word = x[at]
+            while state and word not in self.next[state]:
+                state = self.link[state]
+                size = self.length[state]
+            if word in self.next[state]:
+                state, size = self.next[state][word], size + 1
+                if size > best[2]:
+                    best = at - size + 1, self.first[state] - size + 1, size
+        return best
+
+
+def matching_words(a: list[str], b: list[str], popular: bool = True) -> int:
+    """How many words lie in matching blocks: the longest common run, then the longest on either side of it, and so on.
+
+    With ``popular``, frequent words of a long second text begin no block, though a block may grow over them.
+    """
+    code = {w: i for i, w in enumerate(dict.fromkeys([*a, *b]))}
+    x, y = [code[w] for w in a], [code[w] for w in b]
+    most = len(y) // _POPULAR + 1
+    skipped = {w for w, n in Counter(y).items() if n > most} if popular and len(y) >= _LONG else set()
+    found, parts = 0, [(0, len(x), 0, len(y))]
+    while parts:
+        i0, i1, j0, j1 = parts.pop()
+        if i0 == i1 or j0 == j1:
+            continue
+        i, j, size = _Runs(y, j0, j1, skipped).longest(x, i0, i1)
+        start, begin = (i, j) if size else (i0, j0)
+        stop = start + size
+        while start > i0 and begin > j0 and x[start - 1] == y[begin - 1]:
+            start, begin = start - 1, begin - 1
+        while stop < i1 and begin + stop - start < j1 and x[stop] == y[begin + stop - start]:
+            stop += 1
+        if stop > start:
+            found += stop - start
+            parts += [(i0, start, j0, begin), (stop, i1, begin + stop - start, j1)]
+    return found
+
+
 def agreement(a: Column, b: Column) -> Column:
-    """Ratio of matching words of two texts, by longest matching blocks."""
+    """Ratio of the words of two texts that lie in matching blocks; 1 for two texts without words."""
 
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        import difflib
+        def one(u: str, v: str) -> float:
+            p, q = u.split(), v.split()
+            return 2 * matching_words(p, q) / (len(p) + len(q)) if p or q else 1.0
 
-        return pd.Series([difflib.SequenceMatcher(None, u.split(), v.split()).ratio() if u is not None and v is not None else None for u, v in zip(x, y)], dtype="float64")
+        return pd.Series([one(u, v) if u is not None and v is not None else None for u, v in zip(x, y)], dtype="float64")
 
     return ratio(a, b)
 

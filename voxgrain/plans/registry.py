@@ -228,6 +228,28 @@ def turn_wer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("conv_id", "turn", "distance", F.round(evaluate.error_rate(F.col("w"), F.col("v"), F.col("distance")), 9).alias("wer"))
 
 
+_CELL = 1 << 20  # a cell of the table holds its distance, times this, and the words matched on the way that is preferred
+
+
+@query(
+    _PAIRS.split("d as (")[0]
+    + f"""m as (
+  select conv_id, turn, len(r) as words, list_extract(list_reduce(r,
+    lambda prev, x: list_reduce(list_transform(range(1, len(h) + 1), lambda j: [j::bigint]),
+      lambda cur, j: list_append(cur, case when x[1] = h[j[1]] then prev[j[1]] + 1
+        when prev[j[1]] // {_CELL} <= least(prev[j[1] + 1], cur[j[1]]) // {_CELL} then prev[j[1]] + {_CELL}
+        when prev[j[1] + 1] // {_CELL} <= cur[j[1]] // {_CELL} then prev[j[1] + 1] + {_CELL} else cur[j[1]] + {_CELL} end), [prev[1] + {_CELL}]),
+    list_transform(range(0, len(h) + 1), lambda j: j * {_CELL})), -1)::bigint as cell
+  from pairs)
+select conv_id, turn, cell // {_CELL} as distance, cell % {_CELL} as matched, words::int as words from m where words > 0"""
+)
+def aligned_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of consecutive turns that the preferred optimal alignment matches, and its cost."""
+    pairs = _pairs(spark, sf_dir).filter(F.size("w") > 0).withColumn("m", evaluate.matched("w", "v"))
+    hits = F.size(F.filter("m.of_a", lambda x: x)).cast("long")
+    return pairs.select("conv_id", "turn", evaluate.word_distance(F.col("w"), F.col("v")).cast("long").alias("distance"), hits.alias("matched"), F.size("w").alias("words"))
+
+
 @query()
 def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of consecutive turns that an optimal alignment matches, and the spans that differ between anchors."""
