@@ -59,6 +59,23 @@ def test_separation(spark):
     assert got["x"].flagged == sum(g == "x" and s < 1 for g, s, _ in rows)
 
 
+def test_stretches_of_scores(spark):
+    """Stretches rise with the score and are of like size, with an outlier, scores of all scales, infinities and NaN."""
+    rnd = random.Random(9)
+    rows = [("a", s) for s in {rnd.random() for _ in range(20_000)} | {1e300, -1e300}] + [("b", 10.0 ** rnd.uniform(-300, 300)) for _ in range(5000)]
+    rows += [("c", s) for s in (float("-inf"), 0.0, 1.0, float("inf"), float("nan"))] + [(None, 1.0)]
+    found = E.stretches(spark.createDataFrame(rows, "g string, s double"), "s", ["g"]).collect()
+    assert len(found) == len(rows)
+    for g in "abc":
+        mine = sorted((r for r in found if r.g == g), key=lambda r: (math.isnan(r.s), r.s))
+        assert [r.bin_ for r in mine] == sorted(r.bin_ for r in mine)
+        sizes = sorted(np.unique([r.bin_ for r in mine], return_counts=True)[1])
+        assert g == "c" or len(sizes) > 900 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    ranked = E._below(spark.createDataFrame([(*r, 1) for r in rows], "g string, s double, n int"), "s", "n", ["g"]).collect()
+    a = sorted(s for g, s in rows if g == "a")
+    assert sorted((r.s, r.below) for r in ranked if r.g == "a") == [(s, k) for k, s in enumerate(a)]
+
+
 def test_collapse(spark):
     df = spark.createDataFrame([("a", i, v) for i, v in enumerate([0, 2, 2, 0, 2, 3, 3])], "clip string, frame int, id int")
     assert [r.id for r in D.ctc_collapse(df, "id", 0, ["frame"], "clip").orderBy("frame").collect()] == [2, 2, 3]

@@ -45,21 +45,32 @@ def error_rate(reference: Column, hypothesis: Column, distance: Column | None =
     return F.when(n == 0, empty).otherwise(distance / n)
 
 
-#: Equal stretches of a group's scores that are ranked as tasks of their own.
+#: Stretches of a group's scores that are ranked as tasks of their own: a square, as the stretch of a score is found in two steps.
 BINS = 1024
 
 
+def stretches(counts: DataFrame, score: str, groups: list[str], bins: int = BINS) -> DataFrame:
+    """``counts`` (a row for each score of a group) with ``bin_``, which rises with the score: stretches of about as many rows each.
+
+    Quantiles of a group's scores, from a sketch of bounded size, are where stretches begin; so outliers stand in stretches of their own sort, and
+    a group's rows are spread whatever the scale of its scores. Quantiles only deal the rows out: ranks do not depend on how near they are.
+    """
+    side = isqrt(bins)
+    cuts = F.percentile_approx(score, F.array(*[F.lit(k / bins) for k in range(1, bins)]), F.lit(20 * bins))
+    cuts = counts.groupBy(*groups).agg(cuts.alias("cuts_"))
+    cuts = cuts.select(*[F.col(g).alias(f"{g}_of_") for g in groups], "cuts_", F.filter("cuts_", lambda c, i: (i + 1) % side == 0).alias("first_"))
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"{g}_of_")) for g in groups], F.lit(True))
+    passed = lambda c: F.size(F.filter(c, lambda x: x <= F.col(score)))
+    coarse = counts.join(cuts, same).withColumn("coarse_", passed("first_") * side)
+    return coarse.withColumn("bin_", F.col("coarse_") + passed(F.slice("cuts_", F.col("coarse_") + 1, side - 1))).drop("cuts_", "first_", "coarse_", *[f"{g}_of_" for g in groups])
+
+
 def _below(counts: DataFrame, score: str, amount: str, groups: list[str], bins: int = BINS) -> DataFrame:
     """``counts`` (a row for each score of a group) with ``below``: the total of ``amount`` at the group's lower scores.
 
     Totals within a stretch of scores, plus those of the stretches before it: no task ranks a whole group.
     """
-    ends = counts.groupBy(*groups).agg(F.min(score).alias("least_"), F.max(score).alias("most_"))
-    ends = ends.select(*[F.col(g).alias(f"{g}_of_") for g in groups], "least_", "most_")
-    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"{g}_of_")) for g in groups], F.lit(True))
-    share = (F.col(score) - F.col("least_")) / (F.col("most_") - F.col("least_"))
-    finite = (F.col("most_") < float("inf")) & (F.col("least_") > float("-inf")) & (F.col("most_") > F.col("least_"))
-    placed = counts.join(ends, same).withColumn("bin_", F.when(finite, F.floor(share * bins)).otherwise(F.lit(0)))
+    placed = stretches(counts, score, groups, bins)
     placed = placed.withColumn("inside_", F.sum(amount).over(Window.partitionBy(*groups, "bin_").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)))
     totals = placed.groupBy(*groups, "bin_").agg(F.sum(amount).alias("total_"))
     before = F.sum("total_").over(Window.partitionBy(*groups).orderBy("bin_").rowsBetween(Window.unboundedPreceding, -1))
