@@ -649,4 +649,4 @@ def models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.models(rows).select("kind", "path", "variant", "label", "ord")
 
 
-from . import signals, speech  # noqa: E402, F401  register their queries
+from . import learning, signals, speech  # noqa: E402, F401  register their queries
