@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import blocks as B
+from ..operators.recordings import transcribe
 from ..operators.signal import htk_filters
 from ..session import folder
-from ..sources import replay
+from ..sources import documents, replay, sinks
 from ..streaming import capture
 from .registry import _table, query
 
@@ -237,3 +238,26 @@ def live_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of 8 frames behind 2 of context, decoded with carried state as they come."""
     live = _live(spark, sf_dir, "decoded", lambda stream: capture.decoded(stream, htk_filters(), _loudest, 8, 2))
     return live.select("capture_id", F.col("place").alias("chunk"), "id")
+
+
+# Files
+
+
+@query(
+    f"""select 'clip-' || clip_id as stem, count(*)::int as windows, round(max("end") / 100.0, 2)::double as seconds,
+  string_agg('I heard ' || 2 * ("end" - start) || ' samples. It is done', chr(10) || chr(10) order by "window") as text
+from ({_windows_sql("label % 2", 100)}) group by clip_id"""
+)
+def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two long recordings as files, through the whole job to pages, which are read back; the engine says how much it hears."""
+    place = folder(spark, "recordings")
+    blocks = clip_blocks(spark, sf_dir, "label % 2").groupBy("clip_id").agg(F.sort_array(F.collect_list(F.struct("start", "samples"))).alias("parts"))
+    clips = blocks.select(F.concat(F.lit("clip-"), F.col("clip_id").cast("string")).alias("stamp"), F.lit(100).alias("rate"), F.flatten(F.transform("parts", lambda p: p["samples"])).alias("samples"))
+    sinks.write_wav(clips, f"{place}/in")
+    done = transcribe(spark, f"{place}/in", f"{place}/out", _hearing, "test", rate=200)
+    pages = documents.read_markdown(spark, f"{place}/out").select(F.regexp_extract("path", r"([^/]*)\.md\z", 1).alias("stem"), F.regexp_replace("text", r"\A\n+|\n+\z", "").alias("text"))
+    return done.select("stem", "windows", F.round("seconds", 2).alias("seconds")).join(pages, "stem")
+
+
+def _hearing(samples) -> str:
+    return f"i heard uh {len(samples)} samples period it is done"
