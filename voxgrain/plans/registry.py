@@ -275,7 +275,7 @@ pairs as (
   select d.conv_id, d.turn, c.stem, c.rec, d.rec as heard, len(c.w) as n,
     list_transform(c.w, lambda x: [list_position(list_distinct(c.w || d.w), x)::bigint]) as r,
     list_transform(d.w, lambda x: list_position(list_distinct(c.w || d.w), x)::bigint) as h
-  from t d join clips c on c.conv_id = d.conv_id and c.nth <= 10 and len(c.w) > 0 and len(d.w) > 0 and length(d.text) <= 20000
+  from t d join clips c on c.conv_id = d.conv_id and c.nth <= 10 and c.turn % 5 <> 4 and len(c.w) > 0 and len(d.w) > 0 and length(d.text) <= 20000
   where epoch(d.rec) + 60 - epoch(c.rec) between -60 and 1800 and abs(len(c.w) - len(d.w)) <= greatest(2, ceil(len(c.w) * 0.3))),
 scored as (
   select conv_id, turn, stem, rec, heard, list_extract(list_reduce(r,
@@ -283,17 +283,17 @@ scored as (
       lambda cur, j: list_append(cur, least(prev[j[1] + 1] + 1, cur[j[1]] + 1, prev[j[1]] + (case when x[1] = h[j[1]] then 0 else 1 end))), [prev[1] + 1]),
     range(0, len(h) + 1)), -1) / n as difference
   from pairs),
-best as (select * from scored where difference <= 0.35 qualify row_number() over (partition by conv_id, turn order by difference, rec desc, stem desc) = 1)
+best as (select * from scored where difference <= 0.35 and not (difference = 0 and turn % 2 = 0) qualify row_number() over (partition by conv_id, turn order by difference, rec desc, stem desc) = 1)
 select conv_id, turn, stem, round(difference, 9) as difference from best qualify row_number() over (partition by conv_id, stem order by heard, conv_id || '-' || turn) = 1
 """
 )
 def corpus_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns as dictations, a minute after they were recorded, matched with the newest clips of their conversation."""
+    """Turns as dictations, a minute after they were recorded, matched with the newest clips of their conversation; every other one comes from a clip, every fifth clip has its label."""
     at = F.timestamp_seconds(F.lit(1788696000) + F.col("turn") * 240)
     turns = _turns(spark, sf_dir).withColumn("rec", at)
     key = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
-    asked = turns.select(key.alias("dictation"), F.col("conv_id").alias("owner"), F.timestamp_seconds(F.unix_timestamp("rec") + 60).alias("at"), F.lit("hook").alias("source"), "text", T.eval_tokens(F.col("text")).alias("words"))
-    clips = turns.select(F.col("conv_id").alias("owner"), N.stamp(F.col("rec")).alias("stem"), F.col("rec").alias("recorded"), T.eval_tokens(F.col("text")).alias("words"), F.lit(None).cast("string").alias("reference"))
+    asked = turns.select(key.alias("dictation"), F.col("conv_id").alias("owner"), F.timestamp_seconds(F.unix_timestamp("rec") + 60).alias("at"), F.when(F.col("turn") % 2 == 0, "clip").otherwise("hook").alias("source"), "text", T.eval_tokens(F.col("text")).alias("words"))
+    clips = turns.select(F.col("conv_id").alias("owner"), N.stamp(F.col("rec")).alias("stem"), F.col("rec").alias("recorded"), T.eval_tokens(F.col("text")).alias("words"), F.when(F.col("turn") % 5 == 4, F.col("text")).alias("reference"))
     found = evaluate.match_clips(asked, clips)
     return found.select(F.col("owner").alias("conv_id"), F.element_at(F.split("dictation", "-"), -1).cast("long").alias("turn"), "stem", F.round("difference", 9).alias("difference"))
 
@@ -426,7 +426,9 @@ def detokenise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-with recursive f as (select label as clip_id, row_number() over (partition by label order by vec_id) - 1 as frame, list_transform(embedding[1:21], lambda x: x::double) as e from embeddings),
+with recursive f as (
+  select label as clip_id, nth * 3 + k as frame, list_transform(embedding[k * 21 + 1 : k * 21 + 21], lambda x: x::double) as e
+  from (select label, embedding, row_number() over (partition by label order by vec_id) - 1 as nth from embeddings), (select unnest(range(3)) as k)),
 walk as (
   select distinct clip_id, 0::bigint as place, 0 as held, null::bigint as previous, 0 as given, null::bigint as id, null::bigint as frame, null::double as p from f
   union all
@@ -442,17 +444,18 @@ select clip_id, (given - 1)::int as pos, id, frame, round(p, 9) as p from walk w
 """
 )
 def transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy decoding of each label's embeddings as frames; the joint network takes frames as they are, less a little for the previous token."""
+    """Greedy decoding of each label's embeddings, three frames of 21 logits each; the joint network takes frames as they are, less a little for the previous token."""
 
     def joint(previous, state, frame):
-        logits = frame[:21].astype("float64")
+        logits = frame.astype("float64")
         if previous is not None:
             logits[previous] -= 0.5
         return logits, (state or 0) + 1
 
     rows = _table(spark, sf_dir, "embeddings")
-    frame = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    frames = rows.select(F.col("label").alias("clip_id"), frame.alias("frame"), F.col("embedding").alias("features"))
+    nth = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    parts = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.slice("embedding", k * 21 + 1, 21))
+    frames = rows.select(F.col("label").alias("clip_id"), nth.alias("nth"), F.posexplode(parts).alias("k", "features")).select("clip_id", (F.col("nth") * 3 + F.col("k")).alias("frame"), "features")
     return decode.decode_clips(frames, lambda x: decode.tdt_greedy(x, joint, width=16, blank=0)).withColumn("p", F.round("p", 9))
 
 
@@ -499,7 +502,7 @@ def frame_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-with f as (select label as clip_id, row_number() over (partition by label order by vec_id) - 1 as frame, embedding[1]::double as x from embeddings),
+with f as (select label as clip_id, row_number() over (partition by label order by vec_id) - 1 as frame, list_sum(list_transform(embedding, lambda x: x::double)) as x from embeddings),
 c as (select clip_id, frame, x, frame // 7 as chunk from f union all
   select clip_id, frame, x, frame // 7 + 1 from f where frame % 7 >= 4 and frame // 7 + 1 <= (select max(frame // 7) from f g where g.clip_id = f.clip_id))
 select clip_id, chunk::int as chunk, (count(*) + case when chunk = 0 then 3 else 0 end)::int as frames, round(sum(x), 6) as total from c group by clip_id, chunk
@@ -508,9 +511,9 @@ select clip_id, chunk::int as chunk, (count(*) + case when chunk = 0 then 3 else
 def chunks_with_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "embeddings")
     frame = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    frames = rows.select(F.col("label").alias("clip_id"), frame.alias("frame"), F.slice("embedding", 1, 1).alias("mel"))
-    chunks = signal.context_chunks(frames, "clip_id", 1, chunk=7, context=3)
-    total = F.aggregate("frames", F.lit(0.0), lambda s, m: s + F.get(m, F.lit(0)).cast("double"))
+    frames = rows.select(F.col("label").alias("clip_id"), frame.alias("frame"), F.col("embedding").alias("mel"))
+    chunks = signal.context_chunks(frames, "clip_id", 64, chunk=7, context=3)
+    total = F.aggregate(F.flatten("frames"), F.lit(0.0), lambda s, x: s + x.cast("double"))
     return chunks.select("clip_id", "chunk", F.size("frames").alias("frames"), F.round(total, 6).alias("total"))
 
 

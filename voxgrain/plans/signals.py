@@ -218,8 +218,10 @@ def live_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {_LOG_MEL_SQL} select clip_id, frame, round(sum(mel), 4) as total, arg_max(m, mel) as loudest from (select capture_id::int as clip_id, k as frame, m, mel from mels) group by clip_id, frame")
 def log_mels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each log-mel frame of the clips: its sum and its loudest band."""
-    rows = B.log_mels(clip_blocks(spark, sf_dir), htk_filters()).select("clip_id", "frame", F.posexplode("mel").alias("band", "mel"))
+    """Each log-mel frame of the clips, by a bank of filters read from a file: its sum and its loudest band."""
+    bank = folder(spark, "filters") + "-bank"
+    documents.write_filters(htk_filters(), bank)
+    rows = B.log_mels(clip_blocks(spark, sf_dir), documents.read_filters(bank, 80, 257)).select("clip_id", "frame", F.posexplode("mel").alias("band", "mel"))
     return rows.groupBy("clip_id", "frame").agg(F.round(F.sum(F.col("mel").cast("double")), 4).alias("total"), F.max_by("band", "mel").cast("long").alias("loudest"))
 
 

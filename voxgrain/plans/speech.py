@@ -94,12 +94,17 @@ def wav_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.withColumn("total", F.round("total", 3)).join(lengths, "clip")
 
 
-@query("select vec_id, list_position(f, list_max(f)) - 1 as id, n as pos from (select vec_id, embedding[1:16] as f from embeddings) t, (values (0), (1)) v(n) where list_position(f, list_max(f)) > 1")
+@query(
+    """with f as (select vec_id, k, embedding[k * 16 + 1 : k * 16 + 16] as f from embeddings, (select unnest(range(4)) as k)),
+best as (select vec_id, k, list_position(f, list_max(f)) - 1 as id from f)
+select vec_id, id, k as frame, row_number() over (partition by vec_id order by k, n) - 1 as pos from best, (values (0), (1)) v(n) where id > 0"""
+)
 def recurrent_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy decoding of each embedding as one frame, two tokens on a frame at most; the joint network gives the frame."""
-    frames = _table(spark, sf_dir, "embeddings").select("vec_id", F.lit(0).alias("frame"), F.slice("embedding", 1, 16).alias("features"))
+    """Greedy decoding of each embedding as four frames, two tokens on a frame at most; the joint network gives the frame."""
+    parts = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.slice("embedding", k * 16 + 1, 16))
+    frames = _table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(parts).alias("frame", "features"))
     found = decode.decode_clips(frames, lambda x: decode.rnnt_greedy(x, lambda previous, state, frame: (frame, state), blank=0, most=2), "vec_id")
-    return found.select("vec_id", F.col("id").cast("long").alias("id"), "pos")
+    return found.select("vec_id", F.col("id").cast("long").alias("id"), F.col("frame").cast("long").alias("frame"), F.col("pos").cast("long").alias("pos"))
 
 
 # Files written and read back

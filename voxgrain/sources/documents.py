@@ -88,6 +88,14 @@ def read_filters(path: str, bands: int = 128, bins: int = 257) -> np.ndarray:
     return raw.reshape(bands, bins)
 
 
+def write_filters(filters: np.ndarray, path: str) -> None:
+    """A bank of mel filters as ``read_filters`` takes it."""
+    system, place = file_system(path)
+    system.create_dir(place.rsplit("/", 1)[0], recursive=True)
+    with system.open_output_stream(place) as sink:
+        sink.write(np.ascontiguousarray(filters, "<f4").tobytes())
+
+
 def log_line(ts: Column, level: Column, phase: Column, message: Column) -> Column:
     return F.format_string("[%d] %s %s: %s", ts.cast("long"), level, phase, message)
 
