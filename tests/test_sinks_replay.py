@@ -50,11 +50,14 @@ def test_attempts_that_do_not_count(tmp_path):
     other = sinks.FileWriter(str(tmp_path), "name", ".md", False)
     with pytest.raises(ValueError, match="two tasks"):
         other.commit([other.write(iter([Row(name="c", content="1")])), other.write(iter([Row(name="c", content="2")]))])
-    for bad in ("", "x/y", "_x", ".x"):
+    for bad in ("", "x/../y", "/x", "x//y", "x/", "_x", ".x", "a/_b"):
         with pytest.raises(ValueError, match="name"):
             other.write(iter([Row(name=bad, content="")]))
     other.abort([])
     assert files(tmp_path) == ["a.md", "b.md"]
+    deep = sinks.FileWriter(str(tmp_path), "name", "", False)
+    deep.commit([deep.write(iter([Row(name="d/e/f.txt", content="1"), Row(name="d/g", content="2")]))])
+    assert files(tmp_path) == ["a.md", "b.md", "d/e/f.txt", "d/g"]
 
 
 def test_markdown_files(spark, tmp_path):

@@ -68,6 +68,12 @@ def test_entries_and_labels(spark, tmp_path):
     assert line == "2 completed towards 120 goal"
 
 
+def test_error_report(spark):
+    rows = [("a", "one two three", "one two"), ("a", "x y", "x z y"), ("a", None, "q"), ("b", "", "w"), ("c", "One, two!", None)]
+    found = {r.engine: (r.clips, r.words, r.errors, r.wer) for r in corpus.error_report(spark.createDataFrame(rows, "engine string, reference string, raw string"), "engine").collect()}
+    assert found == {"a": (2, 5, 2, 0.4), "b": (1, 0, 1, None), "c": (1, 2, 2, 1.0)}
+
+
 def test_catalog(spark):
     files = {
         ("b0", 0): {"granite-x": ["model.int8.onnx", "tokenizer.json"], "parakeet-a": ["encoder.onnx", "encoder.int8.onnx", "decoder_joint.onnx", "vocab.txt"], "other": ["encoder.onnx", "decoder.onnx", "vocab.txt"]},

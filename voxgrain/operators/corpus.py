@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from ..functions.numeric import parse_stamp, real_time_factor, stamp
 from ..functions.text import eval_tokens, unwrap_prompt
-from .evaluate import match_clips
+from .evaluate import match_clips, word_distance
 
 ENTRY = StructType(
     [
@@ -76,6 +76,16 @@ def speed_report(runs: DataFrame, *by: str, guard: bool = True) -> DataFrame:
     return sums.withColumn("rtf", real_time_factor(F.col("wall_secs"), F.col("audio_secs"), guard))
 
 
+def error_report(entries: DataFrame, *by: str, said: str = "raw") -> DataFrame:
+    """Clips, reference words, errors and word error rate of ``entries`` (reference, ``said``) with a reference; those of a group are pooled.
+
+    A null text is empty. A group without reference words has no rate.
+    """
+    rows = entries.filter(F.col("reference").isNotNull()).select(*by, eval_tokens(F.col("reference")).alias("r"), eval_tokens(F.coalesce(F.col(said), F.lit(""))).alias("h"))
+    sums = rows.groupBy(*by).agg(F.count("*").alias("clips"), F.sum(F.size("r")).alias("words"), F.sum(word_distance(F.col("r"), F.col("h"))).alias("errors"))
+    return sums.withColumn("wer", F.when(F.col("words") > 0, F.col("errors") / F.col("words")))
+
+
 def transcripts(windows: DataFrame, clip: str = "clip_id", separator: str = "\n\n") -> DataFrame:
     """clip, text, windows: the texts of ``windows`` (clip, window, text) in order; blank ones are left out."""
     kept = F.transform(F.sort_array(F.collect_list(F.struct("window", "text"))), lambda w: F.regexp_replace(w["text"], r"(?U)^\s+|\s+\z", ""))

@@ -12,7 +12,7 @@ from ..operators import catalog, corpus, decode, vocabulary
 from ..session import folder as new_folder
 from ..sources import audio, documents, sinks
 from ..streaming import capture
-from .registry import QUERIES, _clips, _table, _tokens, _tokens_sql, _turns, query
+from .registry import _PAIRS, ORACLE_SQL, QUERIES, _clips, _table, _tokens, _tokens_sql, _turns, query
 
 
 # Settings
@@ -176,6 +176,42 @@ def term_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.select((F.row_number().over(Window.orderBy("line_no")) - 1).cast("long").alias("nth"), "term")
 
 
+_MODELS_SQL = ORACLE_SQL["models"].replace("'/m/' || b", "'base' || b")
+
+
+@query(_MODELS_SQL)
+def model_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog of the nations' directories, found by listing files; each region is a base."""
+    place, k = new_folder(spark, "models"), F.col("n_nationkey")
+    directory = F.concat(F.lit("base"), F.col("n_regionkey").cast("string"), F.lit("/"), F.when(k % 3 == 0, "granite-").when(k % 3 == 1, "parakeet-").otherwise("other-"), k.cast("string"))
+    graph = F.when(k % 2 == 0, ".int4.onnx").otherwise(".onnx")
+    names = F.when(k % 3 == 0, F.array(F.concat(F.lit("model"), graph), F.lit("tokenizer.json"))).otherwise(F.array(F.concat(F.lit("encoder-model"), graph), F.lit("decoder_joint-model.onnx"), F.lit("vocab.txt")))
+    nations = _table(spark, sf_dir, "nation")
+    sinks.register(spark)
+    nations.select(directory.alias("dir"), F.explode(names).alias("file")).select(F.concat_ws("/", "dir", "file").alias("name"), F.lit("x").alias("content")).write.format("named_files").mode("append").save(place)
+    bases = [f"{place}/base{r.n_regionkey}" for r in nations.select("n_regionkey").distinct().orderBy("n_regionkey").collect()]
+    found = catalog.models(catalog.list_files(spark, bases))
+    return found.select("kind", F.regexp_extract("path", r"([^/]*/[^/]*)\z", 1).alias("path"), "variant", "label", "ord")
+
+
+@query(
+    _PAIRS
+    + """select 'engine ' || conv_id % 3 as engine, count(*)::bigint as clips, sum(n)::bigint as words, sum(distance)::bigint as errors, round(sum(distance) / sum(n), 9) as wer
+from d where turn % 7 <> 6 group by 1"""
+)
+def engine_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error rates by engine over a folder of entries, one JSON file each; every turn's reference is the turn before, and every seventh has none."""
+    place = new_folder(spark, "entries")
+    turns = _turns(spark, sf_dir)
+    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("raw"))
+    pairs = turns.join(after, ["conv_id", "turn"]).withColumn("stamp", N.stamp(F.timestamp_seconds(F.lit(1788696000) + F.col("turn") * 240)))
+    entry = F.struct(F.col("stamp").alias("recorded"), F.concat(F.lit("engine "), (F.col("conv_id") % 3).cast("string")).alias("engine"), "raw", F.when(F.col("turn") % 7 != 6, F.col("text")).alias("reference"))
+    files = pairs.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"), "stamp").alias("name"), F.to_json(entry).alias("content"))
+    sinks.register(spark)
+    files.write.format("named_files").option("suffix", ".json").mode("append").save(place)
+    return corpus.error_report(corpus.read_entries(spark, place), "engine").withColumn("wer", F.round("wer", 9))
+
+
 # Prompts
 
 

@@ -41,9 +41,11 @@ class FileWriter(DataSourceWriter):
         system.create_dir(place, recursive=True)
         for row in iterator:
             stem = str(row[self.name])
-            if not stem or stem.startswith(("_", ".")) or "/" in stem or stem in written:
+            if stem in written or any(not part or part.startswith(("_", ".")) for part in stem.split("/")):
                 raise ValueError(f"{stem!r} can't name a file, or names two")
             written.add(stem)
+            if "/" in stem:
+                system.create_dir(f"{place}/{stem}".rpartition("/")[0], recursive=True)
             with system.open_output_stream(f"{place}/{stem}{self.suffix}") as sink:
                 sink.write(self.content(row))
         return Attempt(attempt)
@@ -55,15 +57,21 @@ class FileWriter(DataSourceWriter):
         pending = f"{top}/{_PENDING}/{self.job}"
         moves: dict[str, str] = {}
         for attempt in filter(None, messages):
-            for info in system.get_file_info(fs.FileSelector(f"{pending}/{attempt.name}", allow_not_found=True)):
-                if info.base_name in moves:
+            own = f"{pending}/{attempt.name}"
+            for info in system.get_file_info(fs.FileSelector(own, recursive=True, allow_not_found=True)):
+                if info.type != fs.FileType.File:
+                    continue
+                name = info.path.removeprefix(own.lstrip("/") if not info.path.startswith("/") else own).lstrip("/")
+                if name in moves:
                     self.abort(messages)
-                    raise ValueError(f"two tasks wrote {info.base_name}")
-                moves[info.base_name] = info.path
+                    raise ValueError(f"two tasks wrote {name}")
+                moves[name] = info.path
         if self.overwrite:
             for info in system.get_file_info(fs.FileSelector(top)):
                 if info.type == fs.FileType.File and info.base_name.endswith(self.suffix) and info.base_name not in moves:
                     system.delete_file(info.path)
+        for folder in sorted({name.rpartition("/")[0] for name in moves} - {""}):
+            system.create_dir(f"{top}/{folder}", recursive=True)
         for name, path in moves.items():
             system.move(path, f"{top}/{name}")
         self._clear(system, top)
@@ -86,7 +94,7 @@ class WavWriter(FileWriter):
 
 
 class NamedFiles(DataSource):
-    """Rows (name, content: string or binary) as files ``<name><suffix>``; options: path, name (a column), suffix."""
+    """Rows (name, content: string or binary) as files ``<name><suffix>``; options: path, name (a column), suffix. A name may hold folders; overwriting replaces files beside each other only."""
 
     made_by, default_suffix = FileWriter, ""
 
