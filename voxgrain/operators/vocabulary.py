@@ -7,10 +7,13 @@ place, without a shuffle of the texts. Beyond that number words are joined.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import before_terms, capitalize
+from ..session import staged
 
 MIN_WORD = 3
 #: More corrections than this are joined by shuffle: a map is searched from end to end for each word.
@@ -82,12 +85,16 @@ def read_terms(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.col("line_no").cast("long"), term.alias("term")).filter((F.col("term") != "") & ~F.col("term").startswith("#"))
 
 
-def encoded_terms(terms: DataFrame) -> DataFrame:
+#: A word's codes, joined by ``|``.
+Encode = Callable[[Column], Column]
+
+
+def encoded_terms(terms: DataFrame, encode: Encode = beider_morse) -> DataFrame:
     """line_no, term, codes."""
-    return terms.select("line_no", "term", F.split(beider_morse(F.col("term")), r"\|").alias("codes"))
+    return terms.select("line_no", "term", F.split(encode(F.col("term")), r"\|").alias("codes"))
 
 
-def corrections(words: DataFrame, terms: DataFrame) -> DataFrame:
+def corrections(words: DataFrame, terms: DataFrame, encode: Encode = beider_morse) -> DataFrame:
     """word, term: of the distinct ``words`` (word), those that a term replaces by another spelling."""
     long = words.filter(F.length("word") >= MIN_WORD)
     lower = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -98,16 +105,16 @@ def corrections(words: DataFrame, terms: DataFrame) -> DataFrame:
     # To encode a word costs far more than to move it, so partitions are not to be merged by their bytes.
     spark = words.sparkSession
     open_ = open_.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "word")
-    sounds = open_.select("word", F.explode(F.split(beider_morse(F.col("word")), r"\|")).alias("code")).filter(F.col("code") != "")
-    by_code = encoded_terms(terms).select("line_no", "term", F.explode("codes").alias("code"))
+    sounds = open_.select("word", F.explode(F.split(encode(F.col("word")), r"\|")).alias("code")).filter(F.col("code") != "")
+    by_code = encoded_terms(terms, encode).select("line_no", "term", F.explode("codes").alias("code"))
     heard = sounds.join(by_code, "code").groupBy("word").agg(F.min_by("term", "line_no").alias("term"))
     return same.unionByName(heard).filter(F.col("word") != F.col("term"))
 
 
-def correct_terms(df: DataFrame, terms: DataFrame, text: str = "text", map_limit: int = MAP_LIMIT) -> DataFrame:
+def correct_terms(df: DataFrame, terms: DataFrame, text: str = "text", map_limit: int = MAP_LIMIT, encode: Encode = beider_morse) -> DataFrame:
     """``df`` with the words of ``text`` replaced by the vocabulary's terms; what stands between words is kept as it is."""
     words = df.select(F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(WORDS)))).alias("word")).distinct()
-    found = corrections(words, terms)
+    found = staged(corrections(words, terms, encode), "corrections")
     some = found.limit(map_limit + 1).collect()
     if len(some) <= map_limit:
         if not some:

@@ -96,3 +96,43 @@ def learned_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = aliases.AliasStore(spark, f"{place}/store")
     aliases.learn(spark.readStream.schema(sightings.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in"), store, f"{place}/checkpoint")
     return store.aliases()
+
+
+def _skeleton(word):
+    """Two codes that SQL can say: a word's consonants, and its first letters with its length."""
+    low = F.lower(word)
+    return F.concat_ws("|", F.regexp_replace(low, "[aeiouyàâäéèêëîïôöùûüç']", ""), F.concat(F.substring(low, 1, 3), F.length(low).cast("string")))
+
+
+_ASCII = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_PIECE = r"[\p{L}\p{N}'']+"
+
+
+@query(
+    rf"""
+with terms as (
+  select upper(w) as term, row_number() over (order by count(*) desc, w) as line_no
+  from (select lower(unnest(regexp_extract_all(text, '{_PIECE}'))) as w from benchmark) where length(w) >= 7 group by w order by 2 limit 60),
+coded as (select line_no, term, unnest([regexp_replace(lower(term), '[aeiouyàâäéèêëîïôöùûüç'']', '', 'g'), substr(lower(term), 1, 3) || length(term)]) as code from terms),
+pieces as (
+  select conv_id, turn, unnest(p) as piece, unnest(range(len(p))) as i
+  from (select conv_id, turn, regexp_extract_all(text, '{_PIECE}|[^\p{{L}}\p{{N}}'']+') as p from conversations)),
+words as (select distinct piece as word from pieces where regexp_full_match(piece, '{_PIECE}') and length(piece) >= 3),
+codes as (select word, unnest([regexp_replace(lower(word), '[aeiouyàâäéèêëîïôöùûüç'']', '', 'g'), substr(lower(word), 1, 3) || length(word)]) as code from words where lower(word) not in ({_COMMON})),
+exact as (select word, arg_min(term, line_no) as term from words join terms on translate(word, {_ASCII}) = translate(term, {_ASCII}) group by word),
+heard as (select word, arg_min(term, line_no) as term from codes join coded using (code) where code <> '' and word not in (select word from exact) group by word),
+known as (select * from exact union all select * from heard)
+select conv_id, turn, string_agg(coalesce(term, piece), '' order by i) as text, count(term) filter (term <> piece) as changed
+from pieces left join known on word = piece group by conv_id, turn"""
+)
+def coded_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns with the sixty most frequent long words of the benchmark as terms, by spelling, by a simple code for sound, or not at all."""
+    split = F.regexp_extract_all("text", F.lit(vocabulary.WORDS))
+    counts = _table(spark, sf_dir, "benchmark").select(F.explode(split).alias("w")).groupBy(F.lower("w").alias("w")).count().filter(F.length("w") >= 7)
+    top = counts.orderBy(F.desc("count"), "w").limit(60).collect()
+    terms = spark.createDataFrame([(k, r.w.upper()) for k, r in enumerate(top)], "line_no long, term string")
+    turns = _table(spark, sf_dir, "conversations").filter(F.size(F.regexp_extract_all("text", F.lit(vocabulary.PIECES))) > 0).select("conv_id", "turn", "text", F.col("text").alias("was"))
+    fixed = vocabulary.correct_terms(turns, terms, encode=_skeleton)
+    words = lambda c: F.regexp_extract_all(c, F.lit(vocabulary.WORDS))
+    changed = F.size(F.filter(F.zip_with(words("was"), words("text"), lambda a, b: a != b), lambda x: x))
+    return fixed.select("conv_id", "turn", "text", changed.cast("long").alias("changed"))
