@@ -7,18 +7,25 @@ region that holds a seed is kept whole, short lines included. What markup alread
 inside menus, headers, footers, sidebars, forms, adverts, notices, scripts, styles or reader comments are never
 content, and where the page has an article or main element, only what is inside it can be. Each such element is one region.
 
+Where there is no such element, the regions between the first and the last seed, below the innermost element that holds both, are of the text, too,
+unless half of what they say or more is links (such a region is no seed either, if another one is); and so is the nearest top heading before them. A name or a form that could be wrong is doubtful and settled when the whole
+page is known: an element that holds an article is not excluded by its name if no article stands outside of it (but readers' comments are, whatever they hold), and a
+form is not if it holds most of the text, as it wraps the page then.
+
 Defined results: null or empty html gives an empty text; a page without text outside the excluded parts gives an
-empty text; a page in which no line stands out keeps the region with the best line. Broken markup is read as
+empty text; a page in which no line stands out keeps the region with the best line. A header element is left out wherever it stands, an article's own
+included. Broken markup is read as
 browsers do: a paragraph, list item or table cell ends where the next begins, other unclosed elements end with their parent, stray end tags are ignored. Repeated rows give repeated
-results; whole pages are read, however long. Other columns pass through.
+results; whole pages are read, however long, in time in proportion to their length. Other columns pass through.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -35,7 +42,7 @@ INLINE = frozenset(
 )
 #: Elements whose text is never content.
 EXCLUDED = frozenset(
-    "head title script style noscript template nav header footer aside form button select option textarea input iframe object embed svg canvas audio video dialog menu".split()
+    "head title script style noscript template nav header footer aside button select option textarea input iframe object embed svg canvas audio video dialog menu".split()
 )
 #: What a start tag ends if it is open and nothing of the second set lies in between; block elements end a paragraph.
 IMPLIED = {
@@ -53,6 +60,8 @@ ENDS_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li dt dd main menu nav ol p pre search section summary table ul".split()
 )
 P_SCOPE = frozenset("button caption html object table td template th".split())
+#: Not content either, but some wrap the whole page.
+WRAPPERS = frozenset(["form"])
 #: Words of a class, an id or a role that mark an element whose text is never content, if its whole name is made of them and of ``PLAIN`` words.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar navigation nav navbar menu "
@@ -65,6 +74,14 @@ PLAIN = frozenset(
     "wrapper wrap container box block blocks list item items section area bar bars column col row inner outer content body title text link links icon icons button buttons "
     "slot unit group panel message count thread input field media tools bottom google the and of by for us our".split()
 )
+#: Marks that say it whatever else the name says, where they come first or last in it; behind one of ``DENIED`` they say the opposite.
+STRONG = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsored sidebar navbar breadcrumb breadcrumbs comment comments disqus cookie cookies consent gdpr newsletter popup modal pagination pager masthead".split()
+)
+COMMENTS = frozenset("comment comments disqus reply replies respond".split())
+DENIED = frozenset("has with no without not hide".split())
+#: Elements whose id is the name of their topic: only strong marks count in it.
+TOPICS = frozenset("section h1 h2 h3 h4 h5 h6".split())
 #: These count only outside the article, whose own parts may be called so.
 OUTER_MARKS = frozenset("header".split())
 CONTENT = frozenset(["article", "main"])
@@ -76,27 +93,49 @@ SIGMA = 1.0
 _MARK = re.compile(r"[A-Za-z]+")
 
 
+class _Line(NamedTuple):
+    text: str
+    tags: int
+    region: int
+    may: bool  # be content, as far as is certain
+    inside: bool  # an article or main element
+    doubt: int  # the innermost doubtful element around it, or 0
+    links: int  # characters in links
+    title: bool
+
+
+class _Open(NamedTuple):
+    tag: str
+    out: bool
+    inside: bool
+    region: int
+    doubt: int
+
+
 class _Lines(HTMLParser):
-    """Collects lines: text, number of tags, region, whether it can be content, whether it is in an article or main element."""
+    """Collects the lines of a page, its regions and its doubtful elements."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, bool, int]] = []  # tag, excluded, inside content, region
-        self.lines: list[tuple[str, int, int, bool, bool]] = []
+        self.stack: list[_Open] = []
+        self.lines: list[_Line] = []
         self.buffer: list[str] = []
-        self.open: Counter[str] = Counter()  # tags of the stack
-        self.tags = self.regions = 0
-        self.out, self.inside, self.region = False, False, 0
+        self.places: defaultdict[str, list[int]] = defaultdict(list)  # of each tag: where it is in the stack
+        self.blocks: list[int] = []  # where the stack has elements that are not inline
+        self.tags = self.links = 0
+        self.region_end, self.region_in = [0], [0]  # of each region: the last region within it, and the region around it
+        # Of each doubtful element: the one around it, whether it is a form, whether it is for comments, whether it holds an article outside of others within.
+        self.doubt_in, self.doubt_form, self.doubt_comments, self.doubt_holds = [0], [False], [False], [False]
+        self.now = _Open("", False, False, 0, 0)
 
     def end_line(self) -> None:
         text = " ".join("".join(self.buffer).split())
         self.buffer.clear()
         if text:
-            self.lines.append((text, self.tags, self.region, not self.out, self.inside))
+            now = self.now
+            self.lines.append(_Line(text, self.tags, now.region, not now.out, now.inside, now.doubt, min(self.links, len(text)), bool(self.places["h1"])))
             self.tags = 0
-
-    def _state(self) -> None:
-        _, self.out, self.inside, self.region = self.stack[-1] if self.stack else ("", False, False, 0)
+        self.links = 0
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
@@ -105,55 +144,75 @@ class _Lines(HTMLParser):
         if tag in ENDS_P:
             self._imply({"p"}, P_SCOPE)
         if tag in IMPLIED:
-            self._imply(*IMPLIED[tag])
+            while self._imply(*IMPLIED[tag]):
+                pass
         if tag in VOID:
             if tag == "hr":
                 self.end_line()
             return
-        out = self.out or tag in EXCLUDED or self._marked(tag, attrs)
-        if tag not in INLINE or out != self.out:
+        now = self.now
+        out = now.out or tag in EXCLUDED or self._hidden(attrs)
+        doubtful = not out and (tag in WRAPPERS or self._marked(tag, attrs))
+        if tag not in INLINE or out != now.out or doubtful:
             self.end_line()
             self.tags = max(self.tags, 1)
-        region = self.region
-        if tag in REGIONS and not self.inside:  # what an article holds is of its region
-            self.regions += 1
-            region = self.regions
-        self.stack.append((tag, out, self.inside or tag in CONTENT, region))
-        self.open[tag] += 1
-        self._state()
+        region, doubt = now.region, now.doubt
+        if tag in REGIONS and not now.inside:  # what an article holds is of its region
+            region = len(self.region_in)
+            self.region_in.append(now.region)
+            self.region_end.append(region)
+        if doubtful:
+            doubt = len(self.doubt_in)
+            self.doubt_in.append(now.doubt)
+            self.doubt_form.append(tag in WRAPPERS)
+            self.doubt_comments.append(any(name in ("class", "id", "role") and COMMENTS.intersection(map(str.lower, _MARK.findall(value or ""))) for name, value in attrs))
+            self.doubt_holds.append(False)
+        if tag in CONTENT:
+            self.doubt_holds[doubt] = True
+        self.places[tag].append(len(self.stack))
+        if tag not in INLINE:
+            self.blocks.append(len(self.stack))
+        self.now = _Open(tag, out, now.inside or tag in CONTENT, region, doubt)
+        self.stack.append(self.now)
 
     def _cut(self, at: int) -> None:
-        for tag, *_ in self.stack[at:]:
-            self.open[tag] -= 1
+        for x in self.stack[at:]:
+            self.places[x.tag].pop()
+            if x.tag not in INLINE:
+                self.blocks.pop()
+            self.region_end[x.region] = len(self.region_in) - 1
         del self.stack[at:]
-        self._state()
+        self.now = self.stack[-1] if self.stack else _Open("", False, False, 0, 0)
 
-    def _imply(self, ended: set[str], scope) -> None:
-        """Ends the outermost open element of ``ended`` within the scope."""
-        if not any(self.open[tag] for tag in ended):
-            return
-        found = -1
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] in scope:
-                break
-            if self.stack[i][0] in ended:
-                found = i
-        if found >= 0:
-            self.end_line()
-            self._cut(found)
+    def _imply(self, ended: set[str], scope) -> bool:
+        """Ends the innermost open element of ``ended`` within the scope."""
+        last = lambda tags: max((self.places[t][-1] for t in tags if self.places[t]), default=-1)
+        at = last(ended)
+        if at < 0 or at < last(scope):
+            return False
+        self.end_line()
+        self._cut(at)
+        return True
+
+    @staticmethod
+    def _hidden(attrs) -> bool:
+        return any(name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value or "") for name, value in attrs)
 
     def _marked(self, tag, attrs) -> bool:
+        if tag in UNMARKED:
+            return False
+        marks = MARKS if self.now.inside else MARKS | OUTER_MARKS
         for name, value in attrs:
-            if name in ("class", "id", "role"):
-                if tag in UNMARKED:
+            if name not in ("class", "id", "role"):
+                continue
+            for title in (value or "").split():
+                words = list(map(str.lower, _MARK.findall(title)))
+                if not words or words[0] in DENIED:
                     continue
-                marks = MARKS if self.inside else MARKS | OUTER_MARKS
-                for title in (value or "").split():
-                    words = set(map(str.lower, _MARK.findall(title)))
-                    if words & marks and words <= marks | PLAIN:
-                        return True
-            elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value or ""):
-                return True
+                if words[0] in STRONG or words[-1] in STRONG:
+                    return True
+                if not (name == "id" and tag in TOPICS) and marks.intersection(words) and (marks | PLAIN).issuperset(words):
+                    return True
         return False
 
     def handle_startendtag(self, tag, attrs):
@@ -161,20 +220,44 @@ class _Lines(HTMLParser):
 
     def handle_endtag(self, tag):
         self.tags += 1
-        at = len(self.stack) - 1 if self.open[tag] else -1
-        while at >= 0 and self.stack[at][0] != tag:
-            # The end of an inline element does not end the blocks within it.
-            at = -1 if tag in INLINE and self.stack[at][0] not in INLINE else at - 1
+        at = self.places[tag][-1] if self.places[tag] else -1
+        if tag in INLINE and self.blocks and at < self.blocks[-1]:
+            at = -1  # the end of an inline element does not end the blocks within it
         if at < 0:
             if tag == "p":
                 self.end_line()
             return
-        if tag not in INLINE or self.stack[at][1] != self.out:
+        around = self.stack[at - 1] if at else _Open("", False, False, 0, 0)
+        if tag not in INLINE or around.out != self.now.out or around.doubt != self.now.doubt:
             self.end_line()
         self._cut(at)
 
     def handle_data(self, data):
         self.buffer.append(data)
+        if self.places["a"]:
+            self.links += len(data.strip())
+
+    def finish(self) -> None:
+        self.end_line()
+        self._cut(0)
+        self.region_end[0] = len(self.region_in) - 1
+
+    def excluded(self) -> list[bool]:
+        """Of each doubtful element, now that the page is known, whether it goes, or one around it does."""
+        n, chars, holds, outside = len(self.doubt_in), [0] * len(self.doubt_in), self.doubt_holds[:], self.doubt_holds[:]
+        for x in self.lines:
+            if x.may:
+                chars[x.doubt] += len(x.text)
+        for k in range(n - 1, 0, -1):  # an element stands behind the one around it
+            chars[self.doubt_in[k]] += chars[k]
+            holds[self.doubt_in[k]] |= holds[k]
+        out = [False] * n
+        for k in range(1, n):
+            around = self.doubt_in[k]
+            wraps = holds[k] and not outside[around] and not self.doubt_comments[k] or self.doubt_form[k] and 2 * chars[k] > chars[0]
+            out[k] = out[around] or not wraps
+            outside[k] |= outside[around]
+        return out
 
     def parse_marked_section(self, i, report=1):
         return self.parse_bogus_comment(i)
@@ -193,20 +276,54 @@ def main_text(html: str | None) -> str:
     parser = _Lines()
     parser.feed(html)
     parser.close()
-    parser.end_line()
-    lines = parser.lines
-    can = [x[3] for x in lines]
-    if any(ok and x[4] for ok, x in zip(can, lines)):
-        can = [ok and x[4] for ok, x in zip(can, lines)]
+    parser.finish()
+    lines, out = parser.lines, parser.excluded()
+    can = [x.may and not out[x.doubt] for x in lines]
+    article = any(ok and x.inside for ok, x in zip(can, lines))
+    if article:
+        can = [ok and x.inside for ok, x in zip(can, lines)]
     if not any(can):
         return ""
-    ratio = smoothed(np.array([len(text) / max(tags, 1) for text, tags, *_ in lines]))
+    ratio = smoothed(np.array([len(x.text) / max(x.tags, 1) for x in lines]))
     ratio_of_can = np.where(can, ratio, -1.0)
     seeds = ratio_of_can > ratio.std()
     if not seeds.any():
         seeds = ratio_of_can == ratio_of_can.max()
-    chosen = {lines[i][2] for i in np.flatnonzero(seeds)}
-    return "\n".join(x[0] for ok, x in zip(can, lines) if ok and x[2] in chosen)
+    linked = set() if article else _linked(lines)
+    if (own := seeds & [x.region not in linked for x in lines]).any():
+        seeds = own
+    places = np.flatnonzero(seeds)
+    chosen = {lines[i].region for i in places}
+    keep = [ok and x.region in chosen for ok, x in zip(can, lines)]
+    if not article:
+        _fill(parser, can, keep, int(places[0]), int(places[-1]), linked)
+    return "\n".join(x.text for ok, x in zip(keep, lines) if ok)
+
+
+def _linked(lines: list[_Line]) -> set[int]:
+    """Regions half of whose own characters or more are links."""
+    chars, links = defaultdict(int), defaultdict(int)
+    for x in lines:
+        chars[x.region] += len(x.text)
+        links[x.region] += x.links
+    return {r for r in chars if 2 * links[r] >= chars[r]}
+
+
+def _fill(parser: _Lines, can: list[bool], keep: list[bool], first: int, last: int, linked: set[int]) -> None:
+    """Marks in ``keep`` what lies between the first and the last seed below the innermost region around both, and the heading before."""
+    lines = parser.lines
+    low, high = (f(x.region for x, ok in zip(lines, keep) if ok) for f in (min, max))
+    around = low
+    while around and parser.region_end[around] < high:
+        around = parser.region_in[around]
+    for i in range(first, last + 1):
+        region = lines[i].region
+        if can[i] and around <= region <= parser.region_end[around] and region not in linked:
+            keep[i] = True
+    start = keep.index(True)
+    heading = next((i for i in range(start - 1, -1, -1) if can[i] and lines[i].title), None)
+    if heading is not None and not any(x.title for x, ok in zip(lines, keep) if ok) and 2 * lines[heading].links < len(lines[heading].text):
+        keep[heading] = True
 
 
 @F.pandas_udf(StringType())
