@@ -63,3 +63,41 @@ def test_stages_against_brute_force(spark, tmp_path):
 def test_components_of_stage_input(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (2, "A b c d e f")], "doc_id long, text string")
     assert {r.component_id for r in link_components(df.withColumn("x", F.lit(1))).collect()} == {1}
+
+
+CLASHING = ["language_", "leak_", "row_", "of_", "id_", "node", "label", "fp", "a b", "text_", "key", "component", "h", "word", "bit", "size", "taken"]
+
+
+def odd_documents(spark, n=30):
+    """Null and empty texts, ids, sources and languages, repeated rows, equal ids, a very long text twice, and columns of the operators' own names."""
+    rnd = random.Random(3)
+    text = lambda k: " ".join(rnd.choice(["the", "of", "and", "house", "garden", "letters", "running", "under"]) + str(rnd.randrange(90)) for _ in range(k))
+    long = text(60_000)
+    rows = [(i, text(40), "en", f"s{i % 3}", 1) for i in range(n)] + [(1, long, "en", "s0", 1), (901, long, None, None, 1), (None, None, None, None, None), (902, "", "en", "s1", 0), (None, text(30), "en", "s1", 1), (2, "12 .", "en", "s1", 1)]
+    docs = spark.createDataFrame([*rows, rows[3], rows[3]], SCHEMA)
+    for c in CLASHING:
+        docs = docs.withColumn(c, F.lit(c))
+    return docs
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """All stages behind each other, written between and not: the same rows, and all further columns."""
+    spark.createDataFrame([(1, "an item of the benchmark that no document holds"), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = odd_documents(spark)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    chained, written = docs, docs
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        chained = stage(spark, chained, str(tmp_path))
+        stage(spark, written, str(tmp_path)).write.parquet(str(tmp_path / f"{k}"))
+        written = spark.read.parquet(str(tmp_path / f"{k}"))
+        assert written.columns == docs.columns and all(r[c] == c for r in written.select(*[f"`{c}`" for c in CLASHING]).distinct().collect() for c in CLASHING)
+    key = lambda r: (str(r.doc_id), r.text, str(r.source))
+    kept = sorted(map(key, written.select("doc_id", "text", "source").collect()))
+    assert sorted(map(key, chained.select("doc_id", "text", "source").collect())) == kept
+    assert len(kept) == 32 and sum(len(t) > 100_000 for _, t, _ in kept) == 1
+    mixed = corpus_pipeline.STAGES[4][1](spark, written, str(tmp_path)).collect()
+    assert len(mixed) == 32 and all(0 <= r["taken"] <= 2 * r["size"] for r in mixed)
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, str(tmp_path))
+    assert empty.count() == 0

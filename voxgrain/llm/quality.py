@@ -11,7 +11,7 @@ Features are hashed byte trigrams, the byte histogram, and shares of distinct wo
 bounded samples (``POSITIVES`` and ``UNLABELLED`` rows, picked by a hash of doc_id); every text is scored whole.
 
 Defined results: null text scores as the empty text. Where no positive or no unlabelled row is known, every score is
-0.5. Repeated rows score alike. Several labels of one document each count. An empty table gives an empty result.
+0.5. Repeated rows score alike. Of several labels of one document the largest counts. An empty table gives an empty result.
 """
 
 from __future__ import annotations
