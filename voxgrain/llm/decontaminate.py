@@ -184,7 +184,8 @@ def _judge(sent):
             rows = [block.judge(t) for t in texts]
             yield pd.DataFrame({"item_id": pd.array([r[0] for r in rows], "Int64"), "coverage": [r[1] for r in rows], "n_items": np.array([r[2] for r in rows], "int32")})
 
-    return judge
+    # Judged where it stands, and once: a filter on it must not be moved below the joins that may lie before.
+    return judge.asNondeterministic()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", block_words: int = BLOCK_WORDS, into: str = "leak") -> DataFrame:
