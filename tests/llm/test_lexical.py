@@ -6,6 +6,7 @@ from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from voxgrain.llm import lexical
@@ -111,3 +112,28 @@ def test_blocks_below_the_threshold_are_not_scored(monkeypatch):
     out = [r for b in _search(SimpleNamespace(value=queries), least, 10)(iter([batch])) for r in b.to_pylist()]
     assert sorted((r["item"], r["doc_id"], r["score"]) for r in out) == sorted((i, d, s) for i, _, d, s in brute(docs, list(enumerate(asked))))
     assert all(scored.count(q) < 60 for q in range(2)), [scored.count(q) for q in range(2)]
+
+
+def test_tasks_hold_few_blocks_at_once(spark, frames, monkeypatch):
+    rnd = random.Random(8)
+    docs = spark.createDataFrame([(i, " ".join(f"w{rnd.randrange(10**6)}" for _ in range(3000))) for i in range(120)], "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(lexical, "ROW_GROUP", 1 << 18)
+    index = build_index(docs, block_docs=1)
+    groups = [f.row_group(g).total_byte_size for f in (pq.ParquetFile(p.removeprefix("file://")).metadata for p in index.inputFiles()) for g in range(f.num_row_groups)]
+    assert len(groups) > 5 and max(groups) < 1 << 20
+    usual, counted = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), lexical._frequencies
+
+    def frequencies(sent, most=lexical.SENT):
+        def count(batches):
+            def few():
+                for batch in batches:
+                    assert batch.num_rows <= most
+                    yield batch
+
+            return counted(sent)(few())
+
+        return count
+
+    monkeypatch.setattr(lexical, "_frequencies", frequencies)
+    assert search(index, frames[1]).count() > 0
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == usual

@@ -10,8 +10,11 @@ A set of queries is answered in three passes over the index, and none over the t
 1. document frequencies of the queries' terms, which give their weights;
 2. from maxima alone, a bound for each block and query. The ``HEAD`` blocks with the highest bounds of each query are scored, and the
    k-th best score found there is where the threshold starts;
-3. each task takes its blocks, sorts them by a query's bound, and scores forward lists until the bound drops below the threshold, which rises on the way.
-   It hands on k documents a query at most; a ranking by query picks the best of them.
+3. each task takes its blocks, those of a batch with the highest bounds first, and scores the forward lists of each for the queries whose bounds are not
+   below the threshold, which rises on the way. It hands on k documents a query at most; a ranking by query picks the best of them.
+
+A task holds the scores of one block at a time and reads blocks where Arrow has them. Index files have small row groups, and batches to Python are of ``SENT`` rows while
+an index is made or asked; so what a task holds depends on neither the table nor its partitions.
 
 Bounds equal to the threshold are scored, as equal scores are ranked by doc_id; so results are those of scoring everything.
 
@@ -26,7 +29,8 @@ behind all others of its score. Empty tables give an empty result. Whole texts c
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -41,6 +45,8 @@ from .shingles import word_hashes
 
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 TOP, HEAD, BLOCK_DOCS, BLOCK_CHARS, QUERY_CHARS = 10, 2, 128, 1 << 22, 8_000_000
+#: Rows in a batch to Python, documents or blocks, and bytes in a row group of the index.
+SENT, ROW_GROUP = 16, 1 << 23
 INDEX = "ids array<long>, n binary, starts binary, at binary, tf binary, terms binary, df binary, max_tf binary, min_n binary, holders long, total long"
 FOUND = "item int, doc_id long, score long"
 _BETWEEN = b" \x00 "
@@ -90,10 +96,32 @@ def _indexer(block_docs: int):
     return index
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs begun in here send Python ``SENT`` rows at once at most: by default only 10,000 rows or 64 MB end a batch, of which a task holds several copies."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, str(SENT if int(was) <= 0 else min(SENT, int(was))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The rows of ``batches``, binary values as views of Arrow's memory."""
+    for batch in batches:
+        binary = [pa.types.is_binary(kind) or pa.types.is_large_binary(kind) for kind in batch.schema.types]
+        for i in range(batch.num_rows):
+            yield {c: values[i].as_buffer() if raw else values[i].as_py() for c, values, raw in zip(batch.schema.names, batch.columns, binary)}
+
+
 def build_index(docs: DataFrame, text: str = "text", block_docs: int = BLOCK_DOCS) -> DataFrame:
     """The index of ``docs`` (doc_id and ``text``), written: a row for each block."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(_indexer(block_docs), INDEX)
-    return Stage(docs.sparkSession, "lexical").put(rows.withColumn("block", F.monotonically_increasing_id()), "index")
+    stage = Stage(docs.sparkSession, "lexical")
+    with _small_batches(docs.sparkSession):
+        return stage.put(rows.withColumn("block", F.monotonically_increasing_id()), "index", row_group=ROW_GROUP)
 
 
 class Queries:
@@ -189,17 +217,16 @@ class _Best:
         return pd.DataFrame({"item": np.array([r[0] for r in rows], np.int32), "doc_id": pd.array([r[1] for r in rows], "Int64"), "score": np.array([r[2] for r in rows], np.int64)})
 
 
-def _bounds(queries: Queries, rows: list[dict]) -> np.ndarray:
+def _bounds(queries: Queries, rows: Iterable[dict]) -> np.ndarray:
     return np.array([queries.bounds(np.frombuffer(r["terms"], np.uint64), np.frombuffer(r["max_tf"], np.int32), np.frombuffer(r["min_n"], np.int64)) for r in rows])
 
 
 def _frequencies(sent):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries, df = sent.value, np.zeros(len(sent.value.terms), np.int64)
-        for batch in batches:
-            for r in batch.to_pylist():
-                mine, place = queries.find(np.frombuffer(r["terms"], np.uint64))
-                df[place] += np.frombuffer(r["df"], np.int32)[mine]
+        for r in _rows(batches):
+            mine, place = queries.find(np.frombuffer(r["terms"], np.uint64))
+            df[place] += np.frombuffer(r["df"], np.int32)[mine]
         held = np.flatnonzero(df)
         yield pa.RecordBatch.from_pydict({"place": pa.array(held, pa.int64()), "df": pa.array(df[held], pa.int64())})
 
@@ -211,7 +238,7 @@ def _heads(sent, head: int):
         queries = sent.value
         best, blocks = np.zeros((0, len(queries.items)), np.int64), np.zeros((0, len(queries.items)), np.int64)
         for batch in batches:
-            found = _bounds(queries, batch.select(["terms", "max_tf", "min_n"]).to_pylist())
+            found = _bounds(queries, _rows([batch.select(["terms", "max_tf", "min_n"])]))
             best = np.concatenate([best, found])
             blocks = np.concatenate([blocks, np.repeat(batch["block"].to_numpy()[:, None], best.shape[1], 1)])
             order = np.argsort(-best, axis=0, kind="stable")[:head]
@@ -226,7 +253,7 @@ def _score_heads(sent, top: int):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries = sent.value
         best = _Best(np.zeros(len(queries.items), np.int64), top)
-        for row in (r for batch in batches for r in batch.to_pylist()):
+        for row in _rows(batches):
             scores = _Scores(queries, row)
             for q in row["queries"]:
                 best.add(q, row["ids"], scores.of(q))
@@ -240,16 +267,13 @@ def _search(sent, least, top: int):
         queries = sent.value
         best = _Best(least.value.copy(), top)
         for batch in batches:
-            rows, laid = batch.to_pylist(), {}
+            rows = list(_rows([batch]))
             bounds = _bounds(queries, rows)
-            order = np.argsort(-bounds, axis=0, kind="stable")
-            for q in np.flatnonzero((bounds >= best.least).any(axis=0)).tolist():
-                for b in order[:, q].tolist():
-                    if bounds[b, q] < best.least[q]:
-                        break
-                    if b not in laid:
-                        laid[b] = _Scores(queries, rows[b])
-                    best.add(q, rows[b]["ids"], laid[b].of(q))
+            for b in np.argsort(-bounds.max(axis=1), kind="stable").tolist() if rows else ():
+                due = np.flatnonzero(bounds[b] >= best.least).tolist()
+                scores = _Scores(queries, rows[b]) if due else None
+                for q in due:
+                    best.add(q, rows[b]["ids"], scores.of(q))
         yield pa.RecordBatch.from_pandas(best.rows(queries.items), preserve_index=False)
 
     return search
@@ -283,6 +307,11 @@ def _answer(index: DataFrame, texts: list[str], documents: int, total: int, top:
 
 def search(index: DataFrame, items: DataFrame, top: int = TOP, head: int = HEAD, query_chars: int = QUERY_CHARS) -> DataFrame:
     """item_id, rank, doc_id, score: the ``top`` best documents of each row of ``items`` (item_id, text), best first."""
+    with _small_batches(index.sparkSession):
+        return _search_in_blocks(index, items, top, head, query_chars)
+
+
+def _search_in_blocks(index: DataFrame, items: DataFrame, top: int, head: int, query_chars: int) -> DataFrame:
     spark, stage = index.sparkSession, Stage(index.sparkSession, "search")
     size = index.agg(F.sum("holders").alias("n"), F.sum("total").alias("l")).first()
     items = items.select("item_id", "text").filter(F.col("text").isNotNull()).distinct()
