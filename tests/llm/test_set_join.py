@@ -1,9 +1,12 @@
 import random
 import re
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from voxgrain.llm import set_join
+from voxgrain.llm import shingles as hashing
 from voxgrain.llm.set_join import keep_one_of_each, link_components
 
 SCHEMA = "doc_id long, text string, label string, id string, component string"
@@ -98,3 +101,28 @@ def test_rows_that_share_an_id_or_have_none(spark):
     kept = keep_one_of_each(spark.createDataFrame([(*r, "a", "b", "c") for r in rows], SCHEMA))
     got = [(r["doc_id"], (r["text"] or "-")[0].lower()) for r in kept.collect()]
     assert sorted(map(str, got)) == sorted(map(str, [(1, "a"), (5, "b"), (8, "c"), (None, "d"), (9, "e"), (None, "-"), (4, "-")]))
+
+
+def test_sets_of_texts_in_groups_are_those_of_each(monkeypatch):
+    rnd = random.Random(12)
+    texts = [None, "", " \n ", "one", "a b", "A b c D e", "\x00 \x00 a b c d", "é É x y z"] + [" ".join(rnd.choices("abcdef", k=rnd.randrange(60))) for _ in range(200)] + ["w " * 300]
+    rnd.shuffle(texts)
+    alone = [hashing.shingle_set(hashing.words_of(t), 5) for t in texts]
+    for group, piece in ((1, 1 << 22), (100, 1 << 22), (1 << 16, 1 << 22), (100, 50)):
+        monkeypatch.setattr(hashing, "_GROUP", group)
+        monkeypatch.setattr(hashing, "_PIECE", piece)
+        found = []
+        for first, last, s, sizes in hashing.shingle_sets(texts, 5):
+            assert first == len(found) and len(sizes) == last - first and sizes.sum() == len(s)
+            assert set_join._fingerprints(s, sizes).tolist() == [set_join._fingerprint(x) for x in alone[first:last]]
+            found += np.split(s, np.cumsum(sizes)[:-1])
+        assert [x.tolist() for x in found] == [x.tolist() for x in alone]
+
+
+def test_texts_are_hashed_in_groups(monkeypatch):
+    """A call of numpy for each text and step cost more than the hashing."""
+    calls, hashed = [], hashing._placed_words
+    monkeypatch.setattr(hashing, "_placed_words", lambda raw: calls.append(len(raw)) or hashed(raw))
+    texts = pd.DataFrame({"doc_id": range(400), "text": [f"w{i} in a short text of some words" for i in range(400)]})
+    rows = list(set_join._describe(iter([texts])))
+    assert rows[0]["n"].tolist() == [4] * 400 and len(calls) < 10
