@@ -74,6 +74,17 @@ def seen(store):
     return sorted((r.heard, r.meant, r.n) for r in store.pairs().collect())
 
 
+def test_words_that_ask_for_no_term_are_spread(spark):
+    """Their key in the join of near terms is null: they were all rows of one task."""
+    own = spark.newSession()
+    for key, value in (("spark.sql.adaptive.enabled", "false"), ("spark.sql.autoBroadcastJoinThreshold", "-1"), ("spark.sql.shuffle.partitions", "8")):
+        own.conf.set(key, value)
+    words = own.range(4000).select((F.col("id") % 50).alias("clip"), F.col("id").alias("index"), F.lit("nothing").alias("word"), F.lit(0.9).alias("confidence"))
+    found = fuzzy.repair(words, own.createDataFrame([(0, "Kubernetes")], "line_no long, term string"), "clip")
+    sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) < 1200
+
+
 def test_the_third_sighting_promotes(spark, tmp_path):
     store = aliases.AliasStore(spark, str(tmp_path / "store"))
     assert seen(store) == [] and store.aliases().count() == 0

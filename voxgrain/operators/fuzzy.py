@@ -20,6 +20,8 @@ from .vocabulary import COMMON_ENGLISH
 # The gate, the longest list of terms, and lengths from which words may differ by one, two and, if joined, three edits.
 GATE, MOST_TERMS = 0.45, 100
 LENGTHS = (5, 8, 12)
+#: Rows of one word meet its term in so many places, and rows that ask for no term in as many as there are: most rows ask for none, and would be one task's.
+DEALS = 16
 _CORE = r"\A([^\p{L}\p{N}]*)([\p{L}\p{N}](?:.*[\p{L}\p{N}])?)([^\p{L}\p{N}]*)\z"
 
 
@@ -81,8 +83,11 @@ def repair(words: DataFrame, terms: DataFrame, *clip: str, gate: float = GATE, m
         most = allowed(F.col(key), F.lit(joined))
         open_ = F.col("exact_").isNull() & may & (most > 0) & ~F.col(key).isin(*sorted(COMMON_ENGLISH))
         near = near_terms(out.filter(open_).select(F.col(key).alias("word"), most.alias("most")), terms).select(F.col("word").alias("like_"), F.col("term").alias("near_"))
-        out = out.withColumn("open_", F.when(open_, F.col(key))).join(near, F.col("open_") == F.col("like_"), "left")
-        return out.withColumn("term_", F.coalesce("exact_", "near_")).drop("exact_", "near_", "like_", "open_")
+        near = near.withColumn("deal_", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALS - 1).cast("long"))))
+        spread = F.xxhash64(*clip, "index")
+        out = out.withColumn("open_", F.when(open_, F.col(key))).withColumn("dealt_", F.when(F.col("open_").isNull(), spread).otherwise(F.pmod(spread, F.lit(DEALS))))
+        out = out.join(near, (F.col("open_") == F.col("like_")) & (F.col("dealt_") == F.col("deal_")), "left")
+        return out.withColumn("term_", F.coalesce("exact_", "near_")).drop("exact_", "near_", "like_", "open_", "deal_", "dealt_")
 
     following = rows.select(*clip, (F.col("index") - 1).alias("index"), F.col("word").alias("word2_"), F.col("core_").alias("core2_"), F.col("before_").alias("before2_"), F.col("after_").alias("after2_"), unsure.alias("unsure2_"))
     pairs = rows.withColumn("unsure_", unsure).join(following, [*clip, "index"]).filter((F.col("after_") == "") & (F.col("before2_") == "") & (F.col("core_") != "") & (F.col("core2_") != ""))
