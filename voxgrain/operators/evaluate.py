@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
-from itertools import accumulate, chain, pairwise
+from itertools import chain, pairwise
 from math import isqrt
 
 import numpy as np
@@ -109,39 +109,56 @@ def medians(df: DataFrame, score: str, *groups: str) -> DataFrame:
     return counts.join(sizes, same).groupBy(*groups).agg(middle.alias("median"))
 
 
-def _next_row(above: np.ndarray, i: int, word: int, y: np.ndarray) -> np.ndarray:
-    """Row ``i`` of the table of edit distances from the row above it."""
-    across = np.arange(1, len(above))
-    best = np.minimum(above[1:] + 1, above[:-1] + (y != word))
-    # Insertions run along the row: the least of (value - column) so far, plus the column.
-    return np.minimum.accumulate(np.concatenate([[i], best - across])) + np.arange(len(above))
+#: Rows of the table that are kept at once hold about so many cells.
+_CELLS = 1 << 25
 
 
 def _by_rows(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``align`` for words far from each other: the whole table, of which one row in about sqrt(n) is kept; the others are made again on the way back."""
-    stride, row, kept = max(1, isqrt(len(x))), np.arange(len(y) + 1), []
-    for i, word in enumerate(x):
-        if i % stride == 0:
-            kept.append(row)
-        row = _next_row(row, i + 1, word, y)
-    of_a, of_b = np.zeros(len(x), bool), np.zeros(len(y), bool)
-    column = len(y)
-    for first, top in reversed(list(zip(range(0, len(x), stride), kept))):
-        part = x[first : first + stride]
-        rows = list(accumulate(enumerate(part, first + 1), lambda above, w: _next_row(above, *w, y), initial=top))
-        for at in range(len(part) - 1, -1, -1):
-            above, here, word = rows[at], rows[at + 1], part[at]
-            # Insertions at the row's end: columns that neither a diagonal nor a drop reaches.
-            diagonal = np.append(False, above[:-1] + (y != word) == here[1:])
-            column = int(np.flatnonzero((diagonal | (above + 1 == here))[: column + 1])[-1])
-            if diagonal[column]:
-                column -= 1
-                of_a[first + at] = of_b[column] = y[column] == word
+    """``align`` by the whole table, a row of which is a few whole numbers with a bit for each column, so that one operation makes many cells.
+
+    Neighbouring cells differ by one at most. ``up`` and ``down`` say where a row rises and falls from one column to the next; of each row it is kept
+    which cells equal their diagonal neighbour and which are one above the row before. Long tables keep a few rows on the way and make the others again on the way back.
+    """
+    x, y = x.tolist(), y.tolist()
+    full, places = (1 << len(y)) - 1, {}
+    for j, word in enumerate(y):
+        places[word] = places.get(word, 0) | 1 << j
+
+    def rows(first: int, last: int, up: int, down: int) -> Iterator[tuple[int, int, int, int]]:
+        for i in range(first, last):
+            here = places.get(x[i], 0)
+            level = ((here & up) + up ^ up | here | down) & full
+            above, below = down | full ^ (level | up), level & up
+            up, down = (below << 1 | full ^ full & (level | above << 1 | 1)) & full, (above << 1 | 1) & level
+            yield level, above, up, down
+
+    stride, kept, edge = max(1, isqrt(len(x)), _CELLS // (len(y) + 1)), [], (full, 0)
+    for first in range(0, len(x), stride):
+        kept.append((first, *edge))
+        if first + stride < len(x):
+            for _, _, *edge in rows(first, first + stride, *edge):
+                pass
+    of_a, of_b, j = np.zeros(len(x), bool), np.zeros(len(y), bool), len(y)
+    for first, up, down in reversed(kept):
+        last = min(first + stride, len(x))
+        part, i = [row[:2] for row in rows(first, last, up, down)], last - 1
+        while i >= first and j:
+            if x[i] == y[j - 1]:
+                of_a[i] = of_b[j - 1] = True
+                i, j = i - 1, j - 1
+                continue
+            level, above = part[i - first]
+            if not level >> j - 1 & 1:
+                i, j = i - 1, j - 1
+            elif above >> j - 1 & 1:
+                i -= 1
+            else:
+                j -= 1
     return of_a, of_b
 
 
-#: A band of more diagonals than this on either side, or than this share of the words, is left for the whole table.
-_BAND, _BAND_SHARE = 2000, 8
+#: A band of more diagonals than this on either side, or than this share of the words, is left for the whole table; so are tables of fewer cells than ``_LARGE``.
+_BAND, _BAND_SHARE, _LARGE = 2000, 8, 1 << 32
 
 
 def _slide(x: np.ndarray, y: np.ndarray, at: np.ndarray, diagonals: np.ndarray) -> np.ndarray:
@@ -201,12 +218,13 @@ def align(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Which words of each side an optimal alignment matches; going back, equal words come before changes, then drops, then insertions.
 
     Alignments of cost d never leave the d diagonals on either side of the first, so the search widens cost by cost until one reaches the end: what it
-    has found by then holds every optimal alignment. That takes about n + d * d steps. Words too far apart for it take the whole table.
+    has found by then holds every optimal alignment. That takes about n + d * d steps. Words too far apart for it take the whole table, as do texts
+    of some ten thousand words or fewer, for which that is faster than even a narrow band.
     """
     code = {w: i for i, w in enumerate(dict.fromkeys([*a, *b]))}
     x, y = np.array([code[w] for w in a], int), np.array([code[w] for w in b], int)
     most = min(_BAND, max(len(x), len(y)) // _BAND_SHARE + 1)
-    rows = _furthest(x, y, most) if abs(len(x) - len(y)) <= most else None
+    rows = _furthest(x, y, most) if len(x) * len(y) >= _LARGE and abs(len(x) - len(y)) <= most else None
     return _by_rows(x, y) if rows is None else _by_diagonals(x, y, rows)
 
 
