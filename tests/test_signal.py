@@ -1,6 +1,9 @@
+import random
+import tracemalloc
 from datetime import UTC, datetime
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,6 +145,75 @@ def test_streams_go_on_after_a_restart(spark, tmp_path):
     assert {r.capture_id for name in got for r in got[name]} == {"a", "b", "c"}
 
 
+class State(dict):
+    """A value or a map of the state, and the most entries that it has had."""
+
+    most = 0
+    get, update = lambda self: self[0], lambda self, new: self.updateValue(0, new)
+    exists, containsKey, getValue, removeKey = lambda self: len(self) > 0, dict.__contains__, dict.__getitem__, dict.__delitem__
+
+    def updateValue(self, key, new):
+        self[key] = new
+        self.most = max(self.most, len(self))
+
+
+class Handle(dict):
+    getValueState = getMapState = lambda self, name, *_: self.setdefault(name, State())
+    deleteTimer = registerTimer = lambda self, at: None
+
+
+def captured(handle, batches, filters):
+    """The tables of frames that a capture gives for these batches of chunks."""
+    step = C._Captures(lambda state: C.Flow(LogMel(filters), state) if state else C.Flow(LogMel(filters)), C.Flow.state_type, lambda p: {"mel": list(p)}, C.IDLE_MS)
+    step.init(handle)
+    return step.handleInputRows(("a",), batches, None)
+
+
+def chunk_table(chunks):
+    return pd.DataFrame([(k, pd.Timestamp(1_700_000_000 + k, unit="s"), x, last) for k, x, last in chunks], columns=["seq", "at", "samples", "is_last"])
+
+
+def test_a_task_holds_no_whole_capture():
+    filters, peaks = S.htk_filters(20), []
+    for n in (3000, 12_000):
+        batches = (chunk_table([(k, np.full(160, k % 7, np.float32), k == n - 1) for k in range(i, i + 500)]) for i in range(0, n, 500))
+        tracemalloc.start()
+        sizes = [len(table) for table in captured(Handle(), batches, filters)]
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert sum(sizes) == n + 1 and len(sizes) <= n / 100
+    assert peaks[1] < 1.3 * peaks[0]
+
+
+@pytest.mark.parametrize("order", ["as they come", "backwards", "shuffled"])
+def test_chunks_ahead_of_their_turn_wait_in_the_state(monkeypatch, order):
+    """With chunks that come again, empty ones, and a batch that ends in the middle."""
+    store = C._Ahead.store
+
+    def bounded(self, most):
+        store(self, most)
+        assert self.bytes <= most and self.bytes == sum(x.nbytes + 256 for x, _ in self.new.values())
+
+    monkeypatch.setattr(C._Ahead, "store", bounded)
+    monkeypatch.setattr(C, "_AHEAD", 20_000)
+    monkeypatch.setattr(C, "_AT_ONCE", 3000)
+    rnd, filters = random.Random(2), S.htk_filters(20)
+    cuts = sorted([0, 40_000, *rnd.choices(range(40_000), k=200)])
+    x = tone(40_000, 440, 16_000)
+    chunks = [(k, x[i:j] if i < j else None, j == 40_000) for k, (i, j) in enumerate(zip(cuts, cuts[1:]))]
+    assert chunks[-1][2] and not any(last for *_, last in chunks[:-1])
+    chunks = chunks[::-1] if order == "backwards" else chunks
+    if order == "shuffled":
+        chunks = chunks + chunks[50:90]
+        rnd.shuffle(chunks)
+    handle, found = Handle(), []
+    for part in (chunks[:120], chunks[120:]):
+        found += captured(handle, (chunk_table(part[i : i + 16]) for i in range(0, len(part), 16)), filters)
+    want = S.log_mel(x, filters)
+    assert [i for table in found for i in table["place"]] == list(range(len(want))) and np.abs(np.stack([m for table in found for m in table["mel"]]) - want).max() < 1e-3
+    assert (handle["waiting"].most > 0) == (order != "as they come") and not any(handle.values())
+
+
 def test_events(spark):
     rows = [(1, i, k) for i, k in enumerate(["pressed", "released", "pressed", "released", "pressed"])]
     df = spark.createDataFrame(rows, "u int, at int, kind string")

@@ -3,6 +3,7 @@
 Rows are (capture_id, seq, at, samples, is_last); ``at`` is when a chunk came, with a watermark on it. A stream has no end of its own, so the last row of
 a capture says so. Chunks are taken in the order of ``seq``, whatever order they arrive in. Each capture has three state variables: its place, the samples that
 outputs to come still read, and a map of the chunks ahead of their turn. So a batch rewrites little, and a chunk that waits is written once.
+What a task holds of a capture does not grow with the batch: outputs are given as chunks come, and beyond 32 MB of chunks ahead of their turn the latest wait in the map.
 
 A capture of which no chunk has come for ``idle_ms``, by the watermark, is finished as if it had ended where the chunks in turn end; chunks behind a gap go with it.
 Chunks that come again are passed over, empty ones and null samples are taken, and an idle capture of which no chunk was in turn gives nothing. Queries need the state store of ``stream_session``.
@@ -24,6 +25,8 @@ from ..operators.blocks import Kernel, LogMel, Resampling
 from ..sources.replay import CHUNK  # noqa: F401  the columns of a stream of chunks
 
 IDLE_MS = 60_000
+#: Samples that go through a flow at once, and bytes of chunks ahead of their turn that a task holds.
+_AT_ONCE, _AHEAD = 1 << 16, 1 << 25
 _STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -102,6 +105,54 @@ class DecodeFlow:
         return list(found)
 
 
+class _Ahead:
+    """Chunks of a capture that are not yet taken: in memory, and those of earlier batches or beyond ``_AHEAD`` bytes in a map of the state."""
+
+    def __init__(self, waiting):
+        self.waiting, self.held = waiting, waiting.exists()
+        self.new: dict[int, tuple[np.ndarray, bool]] = {}
+        self.bytes = 0
+
+    def put(self, seq: int, samples, last: bool) -> None:
+        if seq in self.new:
+            self._pop(seq)
+        # A copy, as rows are views that keep a whole batch.
+        self.new[seq] = np.array([] if samples is None else samples, np.float32), last
+        self.bytes += self._size(seq)
+
+    def take(self, turn: int) -> list[tuple[np.ndarray, bool]]:
+        """The chunks from ``turn`` on that are there, as far as the last one, about ``_AT_ONCE`` samples or a gap."""
+        run, n = [], 0
+        while n < _AT_ONCE and not (run and run[-1][1]):
+            if turn in self.new:
+                samples, last = self._pop(turn)
+            elif self.held and self.waiting.containsKey((turn,)):
+                samples, last = self.waiting.getValue((turn,))
+                self.waiting.removeKey((turn,))
+            else:
+                break
+            run.append((np.asarray(samples, np.float32), last))
+            turn, n = turn + 1, n + len(samples) + 1
+        return run
+
+    def store(self, most: int) -> None:
+        """Beyond ``most`` bytes, the latest chunks go to the state, until half of that is left."""
+        if self.bytes > most:
+            for seq in sorted(self.new, reverse=True):
+                if self.bytes <= most // 2:
+                    break
+                samples, last = self._pop(seq)
+                self.waiting.updateValue((seq,), (samples.tolist(), last))
+            self.held = True
+
+    def _size(self, seq: int) -> int:
+        return self.new[seq][0].nbytes + 256
+
+    def _pop(self, seq: int) -> tuple[np.ndarray, bool]:
+        self.bytes -= self._size(seq)
+        return self.new.pop(seq)
+
+
 class _Captures(StatefulProcessor):
     def __init__(self, make: Callable, state_type: str, row: Callable, idle_ms: int):
         self.make, self.state_type, self.row, self.idle_ms = make, state_type, row, idle_ms
@@ -115,49 +166,45 @@ class _Captures(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         turn, given, due = self.place.get() if self.place.exists() else (0, 0, -1)
         flow = self.make(self.flow.get()) if self.flow.exists() else self.make(None)
-        new, latest = {}, -1
+        ahead, latest, ended = _Ahead(self.waiting), -1, False
         for b in rows:
-            for seq, at, samples, last in zip(b["seq"], b["at"], b["samples"], b["is_last"]):
-                latest = max(latest, int(at.timestamp() * 1000))
+            latest = max([latest, *(int(at.timestamp() * 1000) for at in b["at"])])
+            if ended:
+                continue
+            for seq, samples, last in zip(b["seq"], b["samples"], b["is_last"]):
                 if seq >= turn:
-                    new[int(seq)] = ([] if samples is None else samples, bool(last))
-        parts, ended, held = [], False, self.waiting.exists()
-        while not ended:
-            if turn in new:
-                samples, ended = new.pop(turn)
-            elif held and self.waiting.containsKey((turn,)):
-                samples, ended = self.waiting.getValue((turn,))
-                self.waiting.removeKey((turn,))
-            else:
-                break
-            parts.append(flow.push(samples))
-            turn += 1
+                    ahead.put(int(seq), samples, bool(last))
+            while not ended and (run := ahead.take(turn)):
+                turn, ended = turn + len(run), run[-1][1]
+                x = np.concatenate([samples for samples, _ in run])
+                for i in range(0, len(x), _AT_ONCE):
+                    part = flow.push(x[i : i + _AT_ONCE])
+                    yield from self._rows(key, given, part)
+                    given += len(part)
+            if not ended:
+                ahead.store(_AHEAD)
         if ended:
-            parts.append(flow.finish())
-        yield from self._rows(key, given, parts)
+            yield from self._rows(key, given, flow.finish())
         if due >= 0:
             self.handle.deleteTimer(due)
         if ended:
             self._forget()
             return
-        for seq, (samples, last) in new.items():
-            self.waiting.updateValue((seq,), (np.asarray(samples, np.float32).tolist(), last))
+        ahead.store(0)
         due = max(due, latest + self.idle_ms)
         self.handle.registerTimer(due)
-        self.place.update((turn, given + sum(map(len, parts)), due))
+        self.place.update((turn, given, due))
         self.flow.update(flow.state())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         turn, given, _ = self.place.get()
         if turn:
-            yield from self._rows(key, given, [self.make(self.flow.get()).finish()])
+            yield from self._rows(key, given, self.make(self.flow.get()).finish())
         self._forget()
 
-    def _rows(self, key, given: int, parts: list) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            if len(part):
-                yield pd.DataFrame({"capture_id": key[0], "place": given + np.arange(len(part)), **self.row(part)})
-                given += len(part)
+    def _rows(self, key, given: int, part) -> Iterator[pd.DataFrame]:
+        if len(part):
+            yield pd.DataFrame({"capture_id": key[0], "place": given + np.arange(len(part)), **self.row(part)})
 
     def _forget(self) -> None:
         self.place.clear()
